@@ -14,6 +14,11 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
+def one() -> Column:
+    """A bigint 1: the input of running counts."""
+    return F.lit(1).cast("bigint")
+
+
 def contains_any(text: Column, patterns: list[str]) -> Column:
     return reduce(or_, [text.contains(p) for p in patterns])
 

@@ -11,6 +11,14 @@ from packetloom.functions.columns import flag, lookup
 TCP, UDP, ICMP = 6, 17, 1
 
 
+def is_tcp() -> Column:
+    return F.col("proto") == TCP
+
+
+def is_udp() -> Column:
+    return F.col("proto") == UDP
+
+
 def has_bit(flags: Column, name: str) -> Column:
     return flags.bitwiseAND(vocab.TCP_BITS[name]) != 0
 

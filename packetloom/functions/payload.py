@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom import vocab
 from packetloom.functions.columns import contains_any
@@ -47,7 +48,7 @@ def _entropy(data: bytes | None) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon entropy (bits) of the byte histogram; 0 for empty or null payloads."""
     return data.map(_entropy, na_action=None)

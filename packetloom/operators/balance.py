@@ -91,5 +91,5 @@ def adasyn(df: DataFrame, label: str = "label", vector: str = "embedding", row_i
 
 def duplicate_minorities(df: DataFrame, label: str) -> DataFrame:
     """Every row, and every row of a class other than the largest once more."""
-    largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by(label, F.struct("n", label)).alias("_top"))
-    return df.unionByName(df.join(F.broadcast(largest), F.col(label) != F.col("_top")).drop("_top"))
+    largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by(label, F.struct("n", label)))
+    return df.unionByName(df.where(F.col(label) != largest.scalar()))

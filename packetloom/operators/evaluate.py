@@ -79,8 +79,8 @@ def roc_curve(predictions: DataFrame, actual: str = "actual", score: str = "scor
     """Rates at every threshold, with the area up to it by the trapezoid rule."""
     curve = score_curve(predictions, actual, score, cuts)
     totals = predictions.agg(F.count_if(F.col(actual) == 1).alias("all_pos"), F.count_if(F.col(actual) != 1).alias("all_neg"))
-    rated = curve.join(F.broadcast(totals)).select(  # totals is one row
-        "threshold", "rank", (F.col("fp") / F.col("all_neg")).alias("fpr"), (F.col("tp") / F.col("all_pos")).alias("tpr"))
+    rated = curve.select("threshold", "rank", (F.col("fp") / totals.select("all_neg").scalar()).alias("fpr"),
+                         (F.col("tp") / totals.select("all_pos").scalar()).alias("tpr"))
     cuts = cuts or cut_points(rated, "rank")
     paired = running(rated, [], ["rank"], cuts, prevs={"prev_fpr": F.col("fpr"), "prev_tpr": F.col("tpr")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -96,8 +96,8 @@ def pr_curve(predictions: DataFrame, actual: str = "actual", score: str = "score
     """Precision and recall at every threshold."""
     curve = score_curve(predictions, actual, score, cuts)
     total = predictions.agg(F.count_if(F.col(actual) == 1).alias("all_pos"))
-    return curve.join(F.broadcast(total)).select(  # total is one row
-        "threshold", "rank", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_pos")).alias("recall"))
+    return curve.select("threshold", "rank", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                        (F.col("tp") / total.scalar()).alias("recall"))
 
 
 def average_precision(predictions: DataFrame, actual: str = "actual", score: str = "score", cuts: Cuts | None = None) -> DataFrame:

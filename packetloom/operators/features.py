@@ -13,10 +13,6 @@ from packetloom.operators.flows import FIVE_TUPLE, running_flow
 from packetloom.operators.greedy import flow_reset
 from packetloom.operators.timeline import Cuts
 
-IS_TCP = F.col("proto") == P.TCP
-IS_UDP = F.col("proto") == P.UDP
-
-
 def _zero_unless(condition: Column, col: Column) -> Column:
     return F.when(condition, col).otherwise(0)
 
@@ -31,25 +27,25 @@ def header_features(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     return running_flow(packets, cuts=cuts).select(
         "pkt_id", "src_ip", "dst_ip", F.col("length").alias("ip_len"), F.col("ttl").alias("ip_ttl"),
         F.col("proto").alias("ip_proto"), "sport", "dport",
-        F.when(IS_TCP, F.col("tcp_flags")).alias("tcp_flags"), F.when(IS_TCP, F.col("tcp_window")).alias("tcp_window"),
-        F.when(IS_UDP, F.col("length") - 20).alias("udp_len"), "flow_duration", "packets_per_second",
+        F.when(P.is_tcp(), F.col("tcp_flags")).alias("tcp_flags"), F.when(P.is_tcp(), F.col("tcp_window")).alias("tcp_window"),
+        F.when(P.is_udp(), F.col("length") - 20).alias("udp_len"), "flow_duration", "packets_per_second",
         F.length("payload").alias("payload_length"), B.text_entropy(F.col("payload")).alias("entropy"),
         B.printable_ratio(F.col("payload")).alias("printable_ratio"))
 
 
 def _features_47(base: DataFrame, entropy: bool) -> DataFrame:
     service = P.service_name(F.col("proto"), F.col("dport"), vocab.SERVICES_47)
-    state = P.connection_flag_exact(F.col("tcp_flags"), IS_TCP)
+    state = P.connection_flag_exact(F.col("tcp_flags"), P.is_tcp())
     columns = [
         "pkt_id", F.col("ts_s").alias("duration"), payload_bytes().alias("src_bytes"), F.lit(0).alias("dst_bytes"),
         P.land_hosts_and_ports(F.col("src_ip"), F.col("dst_ip"), F.col("sport"), F.col("dport")).alias("land"),
         *one_hot(P.protocol_text(F.col("proto")), vocab.PROTOCOLS_47, "protocol_type"),
         *one_hot(F.col("_service"), vocab.SERVICE_COLUMNS_47, "service"),
         *one_hot(F.col("_state"), vocab.FLAG_COLUMNS_47, "flag"),
-        _zero_unless(IS_TCP, F.col("sport")).alias("tcp_sport"), _zero_unless(IS_TCP, F.col("dport")).alias("tcp_dport"),
-        _zero_unless(IS_TCP, F.col("tcp_window")).alias("tcp_window"), *P.flag_bits(F.col("tcp_flags"), IS_TCP),
-        _zero_unless(IS_UDP, F.col("sport")).alias("udp_sport"), _zero_unless(IS_UDP, F.col("dport")).alias("udp_dport"),
-        _zero_unless(IS_UDP, F.col("length") - 20).alias("udp_len"),
+        _zero_unless(P.is_tcp(), F.col("sport")).alias("tcp_sport"), _zero_unless(P.is_tcp(), F.col("dport")).alias("tcp_dport"),
+        _zero_unless(P.is_tcp(), F.col("tcp_window")).alias("tcp_window"), *P.flag_bits(F.col("tcp_flags"), P.is_tcp()),
+        _zero_unless(P.is_udp(), F.col("sport")).alias("udp_sport"), _zero_unless(P.is_udp(), F.col("dport")).alias("udp_dport"),
+        _zero_unless(P.is_udp(), F.col("length") - 20).alias("udp_len"),
         F.lit(0).alias("icmp_type"), F.lit(0).alias("icmp_code"),
         "flow_packet_count", "flow_duration", "packet_rate",
     ]
@@ -71,7 +67,7 @@ def features_47(packets: DataFrame, entropy: bool = True, reset: float | None =
 def features_69(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """The 69-column connection record with running flow counts."""
     service = P.service_name(F.col("proto"), F.col("dport"), vocab.SERVICES_69)
-    state = P.connection_flag_exact(F.col("tcp_flags"), IS_TCP)
+    state = P.connection_flag_exact(F.col("tcp_flags"), P.is_tcp())
     zero = lambda names, value: [F.lit(value).alias(n) for n in names]
     return running_flow(packets, cuts=cuts).withColumns({"_service": service, "_state": state}).select(
         "pkt_id", "src_ip", "dst_ip", P.land_hosts(F.col("src_ip"), F.col("dst_ip")).alias("land"),
@@ -110,13 +106,13 @@ def flow_rates(src_bytes: Column, dst_bytes: Column, flow_duration: Column, pack
 
 def live_flow_record(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """The 64-field record that feeds the flow model, from packets and their running flow."""
-    state = P.connection_flag_rules(F.col("tcp_flags"), IS_TCP)
+    state = P.connection_flag_rules(F.col("tcp_flags"), P.is_tcp())
     base = running_flow(packets, cuts=cuts).withColumns({
         "_src_bytes": payload_bytes(), "_state": state, "_sport": P.select_port(F.col("sport")), "_dport": P.select_port(F.col("dport"))})
     dport, length = F.col("_dport"), F.greatest(F.lit(0), F.col("length"))
     rates = flow_rates(F.col("_src_bytes"), F.lit(0), F.col("flow_duration"), F.col("flow_packets"))
-    bits = {n: flag(IS_TCP & P.has_bit(F.col("tcp_flags"), n.upper())) for n in ("syn", "ack", "fin", "rst", "psh", "urg")}
-    window = _zero_unless(IS_TCP, F.col("tcp_window"))
+    bits = {n: flag(P.is_tcp() & P.has_bit(F.col("tcp_flags"), n.upper())) for n in ("syn", "ack", "fin", "rst", "psh", "urg")}
+    window = _zero_unless(P.is_tcp(), F.col("tcp_window"))
     zero = lambda *names: [F.lit(0).alias(n) for n in names]
     one = lambda *names: [F.lit(1).alias(n) for n in names]
     rate = lambda name: rates[name].alias(name)
@@ -125,7 +121,7 @@ def live_flow_record(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         dport.alias("service"), F.col("_state").alias("flag"), F.col("_src_bytes").alias("src_bytes"), F.lit(0).alias("dst_bytes"),
         P.land_hosts_and_ports(F.col("src_ip"), F.col("dst_ip"), F.col("_sport"), dport).alias("land"),
         *zero("wrong_fragment", "urgent"), rate("hot"), P.login_port(dport).alias("num_failed_logins"),
-        P.logged_in(F.col("tcp_flags"), IS_TCP).alias("logged_in"),
+        P.logged_in(F.col("tcp_flags"), P.is_tcp()).alias("logged_in"),
         *zero("num_compromised", "root_shell", "su_attempted", "num_root"), rate("num_file_creations"),
         *zero("num_shells", "num_access_files", "num_outbound_cmds"),
         P.host_ttl(F.col("ttl")).alias("is_host_login"), P.guest_ttl(F.col("ttl")).alias("is_guest_login"),

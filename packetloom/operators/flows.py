@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.columns import one
 from packetloom.functions.packets import TCP, flow_service, has_bit
 from packetloom.operators.timeline import Cuts, cut_points, running, session_cells
 
 FIVE_TUPLE = ["src_ip", "dst_ip", "proto", "sport", "dport"]
 FLOW_KEY = ["ip_a", "ip_b", "proto", "port_a", "port_b"]
 ORDER = ["ts_s", "pkt_id"]
-ONE = F.lit(1).cast("bigint")
 IDLE = 300.0
 
 
@@ -33,7 +33,7 @@ def running_flow(packets: DataFrame, keys: list[str] = FIVE_TUPLE, cuts: Cuts |
     cuts = cuts or cut_points(packets, "ts_s")
     scanned = running(
         packets, keys, ORDER, cuts,
-        sums={"flow_packets": ONE, "flow_bytes": F.col("length").cast("bigint")},
+        sums={"flow_packets": one(), "flow_bytes": F.col("length").cast("bigint")},
         mins={"flow_start": F.col("ts_s")}, prevs={"prev_ts": F.col("ts_s")},
     )
     duration = F.col("ts_s") - F.col("flow_start")

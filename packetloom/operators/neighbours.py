@@ -72,22 +72,21 @@ def nearest(
     query = _with_pivot_distances(queries.select(F.col(row_id).alias("query_id"), F.col(vector).alias("query_vector"), *group), vector="query_vector", pivots=drawn, metric=metric)
     # home: the occupied cell whose pivot is nearest
     listed = cells.groupBy(*group).agg(F.collect_list(F.struct("cell", "near", "far", "blocks")).alias("cells"))
-    if group:
-        query = query.join(F.broadcast(listed), group)
-    else:
-        query = query.join(F.broadcast(listed))  # one row: the cell list
+    query = query.join(F.broadcast(listed), group) if group else query.withColumn("cells", listed.scalar())
     home = F.array_min(F.transform("cells", lambda c: F.struct(F.element_at("_d", c["cell"]).alias("d"), c["cell"].alias("cell"))))["cell"]
     query = query.withColumn("home", home)
 
-    # a query part of a block task is bounded too: queries of a cell are dealt over several tasks
-    query_parts = max(1, -(-queries.count() // block_rows))
-
     def search(wanted: DataFrame) -> DataFrame:
-        """Best k per query and block for (query, cell) requests."""
-        spread = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-            "part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
-        copies = ref_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))) if query_parts > 1 else ref_blocks.withColumn("part", F.lit(0))
+        """Best k per query and block for (query, cell) requests. Requests of a cell are dealt over
+        tasks of at most about ``block_rows`` queries."""
+        demand = wanted.groupBy(*keyed).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+        demand = F.broadcast(demand)  # one row per cell
+        spread = wanted.join(demand, keyed).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        copies = ref_blocks.join(demand, keyed).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keys = [*keyed, "block", "part"]
+        # both sides come from one table; fresh column identities keep the cogroup unambiguous
+        copies = copies.select(*[F.col(c).alias(c) for c in (*keys, "neighbour_id", "neighbour_vector")])
 
         def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "neighbour_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})

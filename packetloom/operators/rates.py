@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.packets import TCP, connection_flag_exact, service_name
+from packetloom.functions.columns import one
+from packetloom.functions.packets import connection_flag_exact, is_tcp, service_name
 from packetloom.functions.verdicts import load_band
 from packetloom.operators.timeline import Cuts, cut_points, trailing
 from packetloom.vocab import SERVICES_69
 
-ONE = F.lit(1).cast("bigint")
-
 
 def flood_rate(packets: DataFrame, threshold: float = 1000.0, window: float = 10.0,
                per_target: bool = False, cuts: Cuts | None = None) -> DataFrame:
     """Packets per second over the trailing window at every packet, and the flood verdict."""
     keys = ["dst_ip"] if per_target else []
-    counted = trailing(packets.select("pkt_id", "ts_s", *keys), keys, "ts_s", "pkt_id", window, {"n": ONE}, cuts)
+    counted = trailing(packets.select("pkt_id", "ts_s", *keys), keys, "ts_s", "pkt_id", window, {"n": one()}, cuts)
     pps = F.col("n") / F.lit(float(window))
     return counted.select("pkt_id", "ts_s", *keys, pps.alias("pps"), (pps > threshold).alias("is_flood"))
 
@@ -63,16 +62,15 @@ def prediction_counts(predictions: DataFrame, label: str, seconds: int = 30) ->
 def host_service_counts(packets: DataFrame, window: float = 2.0, cuts: Cuts | None = None) -> DataFrame:
     """Connections of the past seconds to the same host and to the same host and service, with
     the shares of half-open (S0) and rejected (REJ) ones."""
-    is_tcp = F.col("proto") == TCP
-    state = connection_flag_exact(F.col("tcp_flags"), is_tcp)
+    state = connection_flag_exact(F.col("tcp_flags"), is_tcp())
     base = packets.select(
         "pkt_id", "ts_s", "dst_ip", service_name(F.col("proto"), F.col("dport"), SERVICES_69).alias("service"),
         (state == "S0").cast("bigint").alias("s0"), (state == "REJ").cast("bigint").alias("rej"))
     cuts = cuts or cut_points(packets, "ts_s")
     by_host = trailing(base, ["dst_ip"], "ts_s", "pkt_id", window, {
-        "count": ONE, "s0_n": F.col("s0"), "rej_n": F.col("rej")}, cuts)
+        "count": one(), "s0_n": F.col("s0"), "rej_n": F.col("rej")}, cuts)
     by_service = trailing(by_host, ["dst_ip", "service"], "ts_s", "pkt_id", window, {
-        "srv_count": ONE, "srv_s0_n": F.col("s0"), "srv_rej_n": F.col("rej")}, cuts)
+        "srv_count": one(), "srv_s0_n": F.col("s0"), "srv_rej_n": F.col("rej")}, cuts)
     share = lambda part, whole: F.col(part) / F.col(whole)
     return by_service.select(
         "pkt_id", "dst_ip", "service", "count", "srv_count",

@@ -59,8 +59,7 @@ def latest_attack(attacks: DataFrame, packets: DataFrame, max_age: float = 10.0)
     """The newest attack, if at most ``max_age`` seconds older than the newest packet."""
     now = packets.agg(F.max("ts_s").alias("now"))
     last = attacks.agg(F.max_by(F.struct("pkt_id", "ts_s", "attack_name", "src", "dst"), F.struct("ts_s", "pkt_id")).alias("a"))
-    # one row on either side
-    return last.join(F.broadcast(now)).where(F.col("now") - F.col("a.ts_s") < max_age).select("a.*")
+    return last.where(now.scalar() - F.col("a.ts_s") < max_age).select("a.*")
 
 
 def dashboard_snapshot(events: DataFrame, span: float | None = None) -> DataFrame:
