@@ -53,10 +53,9 @@ def scan_state(packets: DataFrame, idle: float = 60.0, cuts: Cuts | None = None)
         F.col("ports_seen").alias("n_ports"), F.col("targets_seen").alias("n_targets"))
 
 
-def classify_scans(packets: DataFrame, threshold: int = 5, idle: float = 60.0, cuts: Cuts | None = None) -> DataFrame:
-    """Packets of a scan with its kind and alert text; the kinds are tested in this order:
-    many ports on one target, one port on many targets, many of both."""
-    state = scan_state(packets, idle, cuts)
+def scan_verdict(state: DataFrame, threshold: int = 5) -> DataFrame:
+    """Packets of a scan with its kind and alert text, from running counts. The kinds are tested
+    in this order: many ports on one target, one port on many targets, many of both."""
     ports, targets = F.col("n_ports"), F.col("n_targets")
     kind = (
         F.when((ports >= threshold) & (targets == 1), "HORIZONTAL_SCAN")
@@ -73,6 +72,10 @@ def classify_scans(packets: DataFrame, threshold: int = 5, idle: float = 60.0, c
     return state.withColumn("scan", kind).where("scan is not null").withColumn("alert", alert)
 
 
+def classify_scans(packets: DataFrame, threshold: int = 5, idle: float = 60.0, cuts: Cuts | None = None) -> DataFrame:
+    return scan_verdict(scan_state(packets, idle, cuts), threshold)
+
+
 def window_scans(
     packets: DataFrame, pair: list[str], value: str, threshold: int = 5, window: float = 60.0,
     cuts: Cuts | None = None,

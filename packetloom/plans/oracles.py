@@ -493,3 +493,19 @@ oracle("prefix_join", F_, f"SELECT pkt_id, file_name, label FROM capture_files J
 oracle("scan_projected", (), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 oracle("scan_multi_format", P, "SELECT pkt_id, src_ip, length, CASE WHEN proto = 6 THEN tcp_flags END AS tcp_flags FROM packets")
 oracle("scan_parquet", (), " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n FROM {t}" for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()))
+
+# --- streams -----------------------------------------------------------------------------
+ORACLES["stream_throughput_2s"] = ORACLES["throughput_2s"]
+oracle("stream_flood_10s", P, """SELECT window_start, COUNT(*) / CAST(10 AS DOUBLE) AS pps FROM (SELECT UNNEST(range(CAST(FLOOR(ts_s) AS BIGINT) - 9, CAST(FLOOR(ts_s) AS BIGINT) + 1)) AS window_start FROM packets)
+GROUP BY 1 HAVING COUNT(*) > 30""")
+ORACLES["stream_flow_sessions"] = "SELECT * EXCLUDE (session_no) FROM (" + ORACLES["flow_sessions"] + ")"
+ORACLES["stream_scan_classifier"] = ORACLES["scan_classifier"]
+ORACLES["stream_flow_running"] = reset_ctes(["src_ip", "proto"]) + """ SELECT p.pkt_id, p.src_ip, p.proto, COUNT(*) OVER w AS flow_packets, CAST(SUM(length) OVER w AS BIGINT) AS flow_bytes, p.ts_s - FIRST_VALUE(p.ts_s) OVER w AS flow_duration,
+p.ts_s - LAG(p.ts_s) OVER (PARTITION BY p.src_ip, p.proto ORDER BY p.ts_s, p.pkt_id) AS iat, k.flow_packet_count AS segment_packets, k.ts_s - k.origin AS segment_duration
+FROM packets p JOIN walk k USING (pkt_id) WINDOW w AS (PARTITION BY p.src_ip, p.proto ORDER BY p.ts_s, p.pkt_id ROWS UNBOUNDED PRECEDING)"""
+ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]
+oracle("stream_decisions", P, f"SELECT pkt_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {FIVE} ORDER BY ts_s, pkt_id) > 1 THEN 'cached_benign' ELSE 'common_port' END AS decision FROM packets WHERE {DROPPED}")
+ORACLES["stream_alert_ingest"] = ORACLES["alert_normalise"]
+oracle("stream_alert_fusion", ("eve",), "SELECT pkt_id, tier, event_no FROM best", FUSED)
+oracle("stream_dashboard", P, f"""SELECT metric, "key", CAST(COUNT(*) AS BIGINT) AS "value" FROM (SELECT 'total_packets' AS metric, 'all' AS "key" FROM packets UNION ALL SELECT 'protocols', {PROTO_NAME} FROM packets
+UNION ALL SELECT 'sources', src_ip || ':' || sport FROM packets UNION ALL SELECT 'destinations', dst_ip || ':' || dport FROM packets) GROUP BY 1, 2""")

@@ -19,6 +19,7 @@ from packetloom.operators import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+DAY = 86_400.0
 CIC_ID = ["l_orderkey", "l_linenumber"]
 
 
@@ -943,3 +944,116 @@ def _table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["scan_parquet"] = _table_counts
+
+
+# --- streams: the same results from Structured Streaming jobs ----------------------------
+
+def _append(transform):
+    from packetloom.streaming.jobs import run_available
+
+    return lambda stream, path, checkpoint: run_available(transform(stream()), path, checkpoint)
+
+
+@query("packets")
+def stream_throughput_2s(packets):
+    from packetloom.streaming.jobs import throughput_stream
+    from packetloom.streaming.replay import replay
+
+    dropped = P.is_common_port(F.col("sport")) | P.is_common_port(F.col("dport"))
+    attack = P.tcp_anomaly(F.col("tcp_flags"), F.col("tcp_window"), P.is_tcp()).isNotNull()
+    return replay(packets, _append(lambda s: throughput_stream(s, dropped, attack)), close=True)
+
+
+@query("packets")
+def stream_flood_10s(packets):
+    from packetloom.streaming.jobs import flood_stream
+    from packetloom.streaming.replay import replay
+
+    return replay(packets, _append(lambda s: flood_stream(s, 3.0)), close=True)
+
+
+@query("packets")
+def stream_flow_sessions(packets):
+    from packetloom.streaming.jobs import flow_session_stream
+    from packetloom.streaming.replay import replay
+
+    return replay(packets, _append(flow_session_stream), close=True)
+
+
+@query("packets")
+def stream_scan_classifier(packets):
+    from packetloom.streaming.replay import replay
+    from packetloom.streaming.state import scan_state_stream
+
+    return scans.scan_verdict(replay(packets, _append(scan_state_stream), origin=DAY)).drop("ts_s")
+
+
+@query("packets")
+def stream_flow_running(packets):
+    from packetloom.streaming.replay import replay
+    from packetloom.streaming.state import running_flow_stream
+
+    # per source and protocol, dense enough for the restart to happen
+    out = replay(packets, _append(lambda s: running_flow_stream(s, ["src_ip", "proto"], idle=100_000.0)), origin=DAY)
+    return out.drop("ts_s")
+
+
+@query("packets")
+def stream_rate_limit(packets):
+    from packetloom.streaming.replay import replay
+    from packetloom.streaming.state import rate_limit_stream
+
+    return replay(packets, _append(lambda s: rate_limit_stream(s, ["proto", "src_ip"], "pkt_id", 3, 20.0)), origin=DAY).select("pkt_id", "admitted")
+
+
+@query("packets")
+def stream_decisions(packets):
+    from packetloom.streaming.replay import replay
+    from packetloom.streaming.state import decision_stream
+
+    return replay(packets, _append(lambda s: decision_stream(s, keep=1_000_000.0)), origin=DAY).select("pkt_id", "decision")
+
+
+@query("eve")
+def stream_alert_ingest(eve):
+    """Log lines through the text source, parsed, promoted and normalised on the stream."""
+    from packetloom.session import run_folder
+    from packetloom.streaming.jobs import run_available
+    from packetloom.streaming.sources import alert_lines
+
+    spark = eve.sparkSession
+    landing, path, checkpoint = (run_folder(spark, n) for n in ("lines", "out", "checkpoint"))
+    for part in (0, 1):
+        eve.where(F.col("event_no") % 2 == part).select(
+            F.concat_ws("\t", F.col("event_no").cast("string"), F.col("ts_s").cast("string"), "line")).write.mode("append").text(landing)
+        run_available(fusion.read_alerts(alert_lines(spark, landing)), path, checkpoint)
+    return spark.read.parquet(path).drop("ts_s")
+
+
+@query("packets", "eve")
+def stream_alert_fusion(packets, eve):
+    from packetloom.streaming.jobs import fuse_to_table
+    from packetloom.streaming.replay import replay
+    from packetloom.streaming.state import alert_candidates_stream
+
+    # one landing table holds both feeds; each row says which one it belongs to
+    alerts = fusion.read_alerts(eve)
+    landed = packets.select(F.col("pkt_id").alias("row_no"), "ts_s", "src_ip", F.col("dst_ip").alias("other_ip"), F.lit(False).alias("is_alert")).unionByName(
+        alerts.select(F.col("event_no").alias("row_no"), "ts_s", "src_ip", F.col("dest_ip").alias("other_ip"), F.lit(True).alias("is_alert")))
+
+    def run(stream, path, checkpoint):
+        feed = stream()
+        p = feed.where(~F.col("is_alert")).withColumnsRenamed({"row_no": "pkt_id", "other_ip": "dst_ip"})
+        a = feed.where("is_alert").withColumnsRenamed({"row_no": "event_no", "other_ip": "dest_ip"})
+        fuse_to_table(alert_candidates_stream(p, a), path, checkpoint)
+
+    return replay(landed, run, origin=DAY).select("pkt_id", "tier", "event_no")
+
+
+@query("packets")
+def stream_dashboard(packets):
+    from packetloom.streaming.jobs import dashboard_to_table, plain_events
+    from packetloom.streaming.replay import replay
+
+    out = replay(packets, lambda stream, path, checkpoint: dashboard_to_table(plain_events(stream()), path, checkpoint))
+    return out.groupBy("metric", "key").agg(F.sum("value").alias("value"))
