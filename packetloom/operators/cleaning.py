@@ -56,7 +56,9 @@ def clean_flows(df: DataFrame, label: str = "label") -> DataFrame:
 def median_impute(df: DataFrame) -> DataFrame:
     """Infinite values to null, then numeric gaps to the column's exact global median."""
     finite = infinite_to_null(df)
-    medians = exact_percentiles(finite, numeric_columns(finite), 0.5)
+    numeric = numeric_columns(finite)
+    gaps = finite.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in numeric]).first()
+    medians = exact_percentiles(finite, [c for c in numeric if gaps[c]], 0.5)
     return finite.fillna({c: m for c, m in medians.items() if m is not None})
 
 

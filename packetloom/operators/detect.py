@@ -43,7 +43,7 @@ def detections(
     parts = [
         packets.select("pkt_id", F.explode(F.array_distinct(F.array_compact(row_hits))).alias("detection")),
         classify_scans(packets, cuts=cuts).select("pkt_id", F.col("alert").alias("detection")),
-        flood_alerts(packets, flood_threshold).select("pkt_id", F.col("alert").alias("detection")),
+        flood_alerts(packets, flood_threshold, cuts=cuts).select("pkt_id", F.col("alert").alias("detection")),
     ]
     if predictions is not None:
         sure = predictions.where("confidence > 0.8")

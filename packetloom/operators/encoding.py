@@ -52,12 +52,6 @@ def column_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.unpivot([], columns, "column_name", "variance")
 
 
-def select_by_variance(df: DataFrame, columns: list[str], threshold: float = 0.1) -> list[str]:
-    """Columns whose population variance exceeds the threshold, in order."""
-    row = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] is not None and row[c] > threshold]
-
-
 @dataclass(frozen=True)
 class MinMax:
     """Fitted column ranges."""
@@ -80,6 +74,15 @@ class MinMax:
         return df.select(*[self.scaled(c) if c in self.ranges else F.col(c) for c in df.columns])
 
 
+def fit_selection(df: DataFrame, columns: list[str], threshold: float | None) -> tuple[list[str], MinMax]:
+    """Columns whose population variance exceeds the threshold (all if None) and their ranges,
+    from one pass over the table."""
+    row = df.agg(*[F.var_pop(c).alias(f"v_{c}") for c in columns], *[F.min(c).alias(f"lo_{c}") for c in columns],
+                 *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
+    kept = [c for c in columns if threshold is None or (row[f"v_{c}"] is not None and row[f"v_{c}"] > threshold)]
+    return kept, MinMax({c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in kept})
+
+
 def minmax_scale(df: DataFrame, label: str = "label") -> DataFrame:
     return MinMax.fit(df, [c for c in numeric_columns(df) if c != label]).apply(df)
 

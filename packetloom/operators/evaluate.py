@@ -62,6 +62,10 @@ def classification_report(predictions: DataFrame, actual: str = "actual", predic
     return per_class.unionByName(macro).unionByName(weighted)
 
 
+def score_cuts(predictions: DataFrame, score: str) -> Cuts:
+    return cut_points(predictions.select((-F.col(score)).alias("rank")), "rank")
+
+
 def score_curve(predictions: DataFrame, actual: str = "actual", score: str = "score", cuts: Cuts | None = None) -> DataFrame:
     """Cumulative true and false positives at every distinct score, highest first.
 
@@ -70,18 +74,18 @@ def score_curve(predictions: DataFrame, actual: str = "actual", score: str = "sc
     """
     steps = predictions.groupBy((-F.col(score)).alias("rank")).agg(
         F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) != 1).alias("neg"))
-    cuts = cuts or cut_points(steps, "rank")
+    cuts = cuts or score_cuts(predictions, score)
     summed = running(steps, [], ["rank"], cuts, sums={"tp": F.col("pos"), "fp": F.col("neg")})
     return summed.select((-F.col("rank")).alias("threshold"), "tp", "fp", "rank")
 
 
 def roc_curve(predictions: DataFrame, actual: str = "actual", score: str = "score", cuts: Cuts | None = None) -> DataFrame:
     """Rates at every threshold, with the area up to it by the trapezoid rule."""
+    cuts = cuts or score_cuts(predictions, score)
     curve = score_curve(predictions, actual, score, cuts)
     totals = predictions.agg(F.count_if(F.col(actual) == 1).alias("all_pos"), F.count_if(F.col(actual) != 1).alias("all_neg"))
     rated = curve.select("threshold", "rank", (F.col("fp") / totals.select("all_neg").scalar()).alias("fpr"),
                          (F.col("tp") / totals.select("all_pos").scalar()).alias("tpr"))
-    cuts = cuts or cut_points(rated, "rank")
     paired = running(rated, [], ["rank"], cuts, prevs={"prev_fpr": F.col("fpr"), "prev_tpr": F.col("tpr")})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     area = (F.col("fpr") - zero(F.col("prev_fpr"))) * (F.col("tpr") + zero(F.col("prev_tpr"))) / 2.0
@@ -102,8 +106,8 @@ def pr_curve(predictions: DataFrame, actual: str = "actual", score: str = "score
 
 def average_precision(predictions: DataFrame, actual: str = "actual", score: str = "score", cuts: Cuts | None = None) -> DataFrame:
     """Precision weighted by the recall gained at each threshold."""
+    cuts = cuts or score_cuts(predictions, score)
     curve = pr_curve(predictions, actual, score, cuts)
-    cuts = cuts or cut_points(curve, "rank")
     paired = running(curve, [], ["rank"], cuts, prevs={"prev_recall": F.col("recall")})
     gain = F.col("recall") - F.coalesce("prev_recall", F.lit(0.0))
     return paired.agg(F.sum(gain * F.col("precision")).alias("average_precision"))

@@ -136,8 +136,9 @@ def live_flow_record(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         F.col("_sport").alias("sport"), dport.alias("dport"), "ttl", "src_ip", "dst_ip", F.col("ts_s").alias("timestamp"))
 
 
-def align_features(df: DataFrame, expected: list[str]) -> DataFrame:
-    """The expected columns in order: missing ones are 0, nulls and NaN become 0."""
+def align_features(df: DataFrame, expected: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The expected columns in order: missing ones are 0, nulls and NaN become 0. Columns to
+    ``keep`` that are not among them come first, unchanged."""
     types = dict(df.dtypes)
 
     def aligned(name: str) -> Column:
@@ -148,4 +149,4 @@ def align_features(df: DataFrame, expected: list[str]) -> DataFrame:
             value = F.nanvl(value, F.lit(0.0))
         return F.coalesce(value, F.lit(0.0)).alias(name)
 
-    return df.select(*[aligned(n) for n in expected])
+    return df.select(*[k for k in keep or [] if k not in expected], *[aligned(n) for n in expected])

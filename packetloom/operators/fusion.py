@@ -25,8 +25,13 @@ EVENT_SCHEMA = T.StructType([
 
 
 def parse_events(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Log lines as structs; malformed lines (no field readable) are dropped."""
-    parsed = lines.withColumn("e", F.from_json(line, EVENT_SCHEMA)).drop(line)
+    """Log lines as structs; malformed lines (no field readable) are dropped.
+
+    The one-element explode keeps filters on the struct above the parser; pushed below it, each
+    of their field references would parse the line again.
+    """
+    kept = [c for c in lines.columns if c != line]
+    parsed = lines.select(*kept, F.explode(F.array(F.from_json(line, EVENT_SCHEMA))).alias("e"))
     readable = F.coalesce(*[F.col(f"e.{f.name}").cast("string") for f in EVENT_SCHEMA.fields]).isNotNull()
     return parsed.where(readable)
 

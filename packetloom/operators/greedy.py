@@ -1,14 +1,14 @@
 """Rules whose outcome for one row depends on what was decided for the rows before it.
 
 The 60-second flow reset and the rate limit walk a key's rows in time order with a small state.
-Keys are cut into time slices that hold at most ``slice_rows`` rows of any key; the state of every
-key moves from slice to slice in a written table. One slice covers tables whose keys are all
-small, and then nothing is written.
+Time is cut into slices that hold at most ``slice_rows`` rows of any key; the state of every key
+moves from slice to slice in a written table. One slice covers tables whose keys are all small,
+and then nothing is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,11 +36,73 @@ def _slice_starts(rows: DataFrame, keys: list[str], ts: str, cell: float, slice_
     return sorted(r.slot * cell for r in starts.collect())
 
 
+def _key_runs(pdf: pd.DataFrame, keys: list[str]) -> list[int]:
+    """Start positions of the runs of equal keys in sorted rows."""
+    changed = np.zeros(len(pdf), dtype=bool)
+    changed[0] = True
+    for k in keys:
+        values = pdf[k].where(pdf[k].notna(), None).to_numpy(dtype=object)
+        changed[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(changed).tolist()
+
+
+def _same_key(a: tuple, b: tuple) -> bool:
+    return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
+
+
+def _folder(keys: list[str], ts: str, out_names: list[str], columns: list[str], step: Step, keep_state: bool):
+    """Partition function: walk sorted rows batch by batch, one state at a time.
+
+    A row with ``_state`` and no id carries a key's state in and sorts first among its rows; with
+    ``keep_state`` the same kind of row carries it out.
+    """
+    def state_row(key: tuple, state: np.ndarray) -> dict:
+        return {**dict(zip(keys, key)), "_state": state.tolist()}
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, np.empty(0)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            starts = _key_runs(pdf, keys)
+            times, carried = pdf[ts].to_numpy(dtype=float), pdf["_state"].to_numpy(dtype=object)
+            key_values = list(zip(*[pdf[k].iloc[starts] for k in keys])) if keys else [()]
+            parts: dict[str, list[np.ndarray]] = {n: [] for n in out_names}
+            real, states = [], []
+            for this, start, stop in zip(key_values, starts, [*starts[1:], len(pdf)]):
+                if key is None or not _same_key(this, key):
+                    if key is not None and keep_state:
+                        states.append(state_row(key, state))
+                    key, state = this, np.empty(0)
+                if carried[start] is not None:
+                    state = np.asarray(carried[start], dtype=float)
+                    start += 1
+                if start == stop:
+                    continue
+                out, state = step(times[start:stop], state)
+                for n in out_names:
+                    parts[n].append(out[n])
+                real.append(np.arange(start, stop))
+            if real:
+                rows = pdf.iloc[np.concatenate(real)].drop(columns="_state")
+                yield rows.assign(_state=None, **{n: np.concatenate(v) for n, v in parts.items()})[columns]
+            if states:
+                yield pd.DataFrame(states).reindex(columns=columns)
+        if key is not None and keep_state:
+            yield pd.DataFrame([state_row(key, state)]).reindex(columns=columns)
+
+    return fold
+
+
 def fold_in_order(
     rows: DataFrame, keys: list[str], ts: str, row_id: str, out_types: dict[str, T.DataType], step: Step,
     cell: float, slice_rows: int | None = None,
 ) -> DataFrame:
-    """Run ``step`` over every key's rows in (ts, id) order; keys run in parallel."""
+    """Run ``step`` over every key's rows in (ts, id) order.
+
+    Spark shuffles by key and sorts; a task then streams its keys through Arrow batches, so a
+    task's memory does not depend on how many rows a key has.
+    """
     spark = rows.sparkSession
     slice_rows = slice_rows or int(spark.conf.get(SLICE_ROWS_CONF, str(DEFAULT_SLICE_ROWS)))
     base = rows.select(*keys, ts, row_id)
@@ -50,37 +112,32 @@ def fold_in_order(
         *key_fields, T.StructField(ts, T.DoubleType()), base.schema[row_id], state_field,
         *[T.StructField(n, t) for n, t in out_types.items()],
     ])
-    names = [f.name for f in schema.fields]
-
-    def fold(pdf: pd.DataFrame, carried: pd.DataFrame, last: bool) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, row_id], kind="stable").reset_index(drop=True)
-        state = np.asarray(carried["_state"].iloc[0], dtype=float) if len(carried) else np.empty(0)
-        out, state = step(pdf[ts].to_numpy(dtype=float), state)
-        pdf = pdf.assign(_state=None, **out)
-        if not last:
-            key_values = {k: (pdf if len(pdf) else carried)[k].iloc[0] for k in keys}
-            pdf = pd.concat([pdf, pd.DataFrame([{**key_values, "_state": state.tolist()}])], ignore_index=True)
-        return pdf.reindex(columns=names)
+    for f in schema.fields:
+        f.nullable = True
+    no_state = F.lit(None).cast(state_field.dataType).alias("_state")
+
+    def run(part: DataFrame, last: bool) -> DataFrame:
+        order = [*keys, F.col("_state").isNull(), ts, row_id]
+        fold = _folder(keys, ts, list(out_types), schema.names, step, not last)
+        return part.repartition(*keys).sortWithinPartitions(*order).mapInPandas(fold, schema)
 
     starts = _slice_starts(base, keys, ts, cell, slice_rows)
     if len(starts) <= 1:
-        empty = pd.DataFrame({"_state": []})
-        one = base.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf, empty, True), schema)
-        return one.drop("_state")
+        return run(base.select("*", no_state), True).drop("_state")
 
-    carried = spark.createDataFrame([], T.StructType([*key_fields, state_field]))
-    done = None
+    done, carried = None, None
     for i, start in enumerate(starts):
         inside = F.lit(True)
         if i > 0:
             inside = inside & (F.col(ts) >= start)
         if i + 1 < len(starts):
             inside = inside & (F.col(ts) < starts[i + 1])
-        part = base.where(inside).groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(
-            lambda pdf, state: fold(pdf, state, False), schema)
-        part = materialise(part, "fold")
+        part = base.where(inside).select("*", no_state)
+        if carried is not None:
+            part = part.unionByName(carried, allowMissingColumns=True)
+        part = materialise(run(part, False), "fold")
         carried = part.where(F.col("_state").isNotNull()).select(*keys, "_state")
-        decided = part.where(F.col(row_id).isNotNull()).drop("_state")
+        decided = part.where(F.col("_state").isNull()).drop("_state")
         done = decided if done is None else done.unionByName(decided)
     return done
 
@@ -156,6 +213,7 @@ def rate_limit(events: DataFrame, keys: list[str], ts: str, row_id: str, max_eve
     slotted = events.select(*keys, ts, row_id).withColumn("slot", F.floor(F.col(ts) / F.lit(float(window))))
     marked = slotted.join(full, [*keys, "slot"], "left").drop("slot")
     easy = marked.where("period is null").select(*keys, ts, row_id, F.lit(True).alias("admitted"))
-    walked = fold_in_order(marked.where("period is not null"), [*keys, "period"], ts, row_id,
+    # a pause empties the state by itself, so the full periods of a key are walked as one
+    walked = fold_in_order(marked.where("period is not null"), keys, ts, row_id,
                            {"admitted": T.BooleanType()}, admit_step(max_events, window), window, slice_rows)
     return easy.unionByName(walked.select(*keys, ts, row_id, "admitted"))

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.packets import ipv4_number
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it is proven small: one row past the limit is enough to refuse."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast ``df`` when it is proven small; one row past the limit is enough to refuse.
+
+    The check evaluates the side, so the rows it fetched (never more than the limit) are reused
+    instead of computing them again. A larger side stays a plain, distributed join.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= limit else df
 
 
 def dimension(df: DataFrame, key: Column, dim: DataFrame, dim_key: str, value: str, default: Column, out: str) -> DataFrame:

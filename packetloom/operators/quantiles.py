@@ -50,6 +50,9 @@ def exact_percentiles(df: DataFrame, columns: list[str], p: float, exact_rows: i
     for c in columns:
         if total[c] == 0:
             continue
+        if math.isinf(low[c]):
+            exprs.append(F.percentile(c, p).alias(f"all_{c}"))
+            continue
         rank = p * (total[c] - 1) - below[c]
         k, weights[c] = int(math.floor(rank)), rank - math.floor(rank)
         for name, index in (("lo", k), ("hi", min(k + 1, inside[c] - 1))):
@@ -63,6 +66,9 @@ def exact_percentiles(df: DataFrame, columns: list[str], p: float, exact_rows: i
         if total[c] == 0:
             result[c] = None
             continue
+        if math.isinf(low[c]):
+            result[c] = row[f"all_{c}"]
+            continue
         lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
         result[c] = lo if weights[c] == 0 else lo + (hi - lo) * weights[c]
     return result

@@ -31,12 +31,13 @@ def split_by_quota(df: DataFrame, label: str, quotas: DataFrame, seed: int = 42,
     repeated instead of ranked one by one.
     """
     columns = df.columns
+    quotas = small_side(quotas)
     hashed = _hashed(df, row_id or columns, seed)
     counts = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # the bucket in which a class reaches its quota, and how many rows it still takes from it
-    edges = filled.join(small_side(quotas), label).where(
+    edges = filled.join(quotas, label).where(
         (F.col("before") < F.col("quota")) & (F.col("before") + F.col("n") >= F.col("quota"))
     ).select(label, F.col("_bucket").alias("_edge"), (F.col("quota") - F.col("before")).alias("_take"))
     # classes smaller than their quota have no edge: all their rows are taken

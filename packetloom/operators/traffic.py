@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.verdicts import alert_category, severity_bucket, severity_class, severity_text
+from packetloom.session import materialise
 
 
 def protocol_counts(events: DataFrame) -> DataFrame:
@@ -62,11 +63,13 @@ def latest_attack(attacks: DataFrame, packets: DataFrame, max_age: float = 10.0)
     return last.where(now.scalar() - F.col("a.ts_s") < max_age).select("a.*")
 
 
-def dashboard_snapshot(events: DataFrame, span: float | None = None) -> DataFrame:
+def dashboard_snapshot(events: DataFrame) -> DataFrame:
     """Every dashboard figure in long form (metric, key, value)."""
     def part(df: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
         return df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
 
+    # ten figures read the same events: write the few columns they need once
+    events = materialise(events.select("pkt_id", "ts_s", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "length", "is_alert", "severity"), "events")
     totals = events.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_alert").alias("a"), (F.max("ts_s") - F.min("ts_s")).alias("up"))
     alerts = events.where("is_alert")
     newest = events.orderBy(F.desc("ts_s"), F.desc("pkt_id"))

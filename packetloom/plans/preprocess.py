@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.operators import cleaning, encoding, sampling
+from packetloom.operators.lookups import small_side
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,8 @@ def preprocess_flow_table(
     table = cleaning.typed_load(stripped) if typed else stripped
     numeric = cleaning.coerce_numeric(cleaning.median_impute(table), features)
 
-    kept = encoding.select_by_variance(numeric, features, threshold) if select_features else features
-    scaler = encoding.MinMax.fit(numeric, kept)
-    codes = encoding.label_codes(numeric, label)
+    kept, scaler = encoding.fit_selection(numeric, features, threshold if select_features else None)
+    codes = small_side(encoding.label_codes(stripped, label))
     encoded = encoding.encode_label(scaler.apply(numeric.select(*kept, label)), label, codes)
     out = encoded.select(*[F.col(c).alias(f"feature_{i}") for i, c in enumerate(kept)], F.col(label).alias("label"))
     if balance:

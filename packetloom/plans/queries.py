@@ -16,6 +16,7 @@ from packetloom.operators import (
     balance, cleaning, detect, encoding, evaluate, features, flows, fusion, greedy, lookups, neighbours, profiling, rates,
     sampling, scans, traffic,
 )
+from packetloom.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -895,6 +896,96 @@ def knn_classify_weighted(embeddings):
     return neighbours.knn_classify(embeddings.where(is_test), embeddings.where(~is_test), k=7, weights="distance", metric="manhattan")
 
 
+# --- models ------------------------------------------------------------------------------
+
+def _flow_training(df: DataFrame, binary: bool = False):
+    """Prepared flow table, split; the features of the fixture say little, which is fine here."""
+    from packetloom.plans.preprocess import preprocess_flow_table
+
+    labelled = cleaning.standardise_labels(df.where("label is not null"), binary=binary)
+    prepared, fitted = preprocess_flow_table(labelled, "label", select_features=True)
+    names = fitted.names()["processed_features"]
+    # every pass of a fit reads the prepared rows: write them once
+    parts = materialise(sampling.train_test(prepared, "label"), "prepared")
+    return parts.where(~F.col("is_test")), parts.where("is_test"), names
+
+
+def _metrics_of(df: DataFrame, name: str, binary: bool = False, **options) -> DataFrame:
+    from packetloom.plans.training import train_all
+
+    train, test, names = _flow_training(df, binary)
+    return train_all([name], train, test, names, names, **options).drop("training_time")
+
+
+@query("cic_flows")
+def train_random_forest(df):
+    return _metrics_of(df, "random_forest", sampling_method="duplicate")
+
+
+@query("cic_flows")
+def train_logistic_regression(df):
+    return _metrics_of(df, "logistic_regression", maxIter=20)
+
+
+@query("cic_flows")
+def train_decision_tree(df):
+    return _metrics_of(df, "decision_tree", maxDepth=5, weighted=True)
+
+
+@query("cic_flows")
+def train_boosted_binary(df):
+    return _metrics_of(df, "xgboost", binary=True, maxIter=5, maxDepth=3)
+
+
+@query("cic_flows")
+def train_boosted_multiclass(df):
+    return _metrics_of(df, "gradient_boosting", maxIter=3, maxDepth=3)
+
+
+@query("cic_flows")
+def train_tuned(df):
+    """Random search over two draws with cross-validated macro F1."""
+    from packetloom.plans.training import random_search, assemble
+
+    train, _, names = _flow_training(df, binary=True)
+    space = [{"maxDepth": 2, "minInstancesPerNode": 1}, {"maxDepth": 5, "minInstancesPerNode": 3}]
+    best, value = random_search("decision_tree", assemble(train, names), 2, names, folds=3, space=space)
+    return df.sparkSession.createDataFrame([(str(best), value)], "params string, f1_cv double")
+
+
+@query("packets", "nslkdd")
+def score_packets(packets, kdd):
+    """Train on the connection records, score every packet, and apply the gates."""
+    from packetloom.plans.training import gated, score, train_model
+
+    records = features.features_69(packets)
+    names = vocab.KDD_MODEL_COLUMNS
+    labelled = materialise(encoding.encode_label(records.join(kdd.select("pkt_id", "label"), "pkt_id"), "label"), "records")
+    trained = train_model("random_forest", labelled, labelled, names, ["pkt_id"], maxDepth=5)
+    scored = score(records.join(packets.select("pkt_id", "proto"), "pkt_id"), trained.model, names, ["pkt_id", "sport", "dport", "proto"])
+    return gated(scored, "sport", "dport", "proto").select("pkt_id", "predicted", "confidence", "outcome")
+
+
+@query("packets", "nslkdd")
+def top_probabilities(packets, kdd):
+    from packetloom.plans.training import train_model
+
+    names = ["src_bytes", "duration", "count"]
+    labelled = materialise(encoding.encode_label(features.features_69(packets).join(kdd.select("pkt_id", "label"), "pkt_id"), "label"), "records")
+    trained = train_model("random_forest", labelled, labelled, names, ["pkt_id"], maxDepth=4, numTrees=5)
+    return evaluate.top_probabilities(trained.model.transform(labelled).select("pkt_id", "probability"), k=3).select("pkt_id", "rank", "class", "p")
+
+
+@query("packets", "nslkdd")
+def feature_importance(packets, kdd):
+    from packetloom.plans.training import feature_importance as importance, train_model
+
+    names = vocab.KDD_MODEL_COLUMNS
+    labelled = materialise(encoding.encode_label(features.features_69(packets).join(kdd.select("pkt_id", "label"), "pkt_id"), "label"), "records")
+    trained = train_model("decision_tree", labelled, labelled, names, ["pkt_id"], maxDepth=5)
+    return importance(trained.model, names)
+
+
 # --- files -------------------------------------------------------------------------------
 
 @query("capture_files")
