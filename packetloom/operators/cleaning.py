@@ -21,6 +21,16 @@ def float_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
 
 
+def numeric_text(df: DataFrame, label: str | None = None) -> DataFrame:
+    """Text columns whose every value reads as a number become doubles (CSV has no types). One
+    pass over the table decides for all columns."""
+    text = [c for c, t in df.dtypes if t == "string" and c != label]
+    if not text:
+        return df
+    reads = df.agg(*[F.bool_and(F.col(c).isNull() | F.col(c).try_cast("double").isNotNull()).alias(c) for c in text]).first()
+    return df.withColumns({c: F.col(c).cast("double") for c in text if reads[c]})
+
+
 def clean_headers(df: DataFrame) -> DataFrame:
     """Column names stripped, spaces as underscores, lower case."""
     return df.toDF(*[c.strip().replace(" ", "_").lower() for c in df.columns])
@@ -57,6 +67,8 @@ def median_impute(df: DataFrame) -> DataFrame:
     """Infinite values to null, then numeric gaps to the column's exact global median."""
     finite = infinite_to_null(df)
     numeric = numeric_columns(finite)
+    if not numeric:
+        return finite
     gaps = finite.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in numeric]).first()
     medians = exact_percentiles(finite, [c for c in numeric if gaps[c]], 0.5)
     return finite.fillna({c: m for c, m in medians.items() if m is not None})

@@ -216,7 +216,11 @@ def run_training(spark: SparkSession, folder: str, output: str, binary: bool = F
                  max_samples: int = 50_000, models: tuple[str, ...] = ("random_forest",), select_features: bool = True,
                  load: Callable[[SparkSession, str], DataFrame] = tables.read_directory, **options) -> DataFrame:
     """Load, clean, label, sample, preprocess, split and train: one lazy chain, written once before fitting."""
-    cleaned = cleaning.standardise_labels(cleaning.clean_flows(load(spark, folder)), binary=binary)
+    raw = load(spark, folder)
+    label = cleaning.find_label_column(raw.columns)
+    if label is None:
+        raise ValueError("no label column")
+    cleaned = cleaning.standardise_labels(cleaning.clean_flows(cleaning.numeric_text(raw, label), label), label, binary)
     if n_samples:
         cleaned = sampling.sample_per_class(cleaned, "label", n_samples=n_samples)
     prepared, fitted = preprocess_flow_table(cleaned, "label", select_features, balance=balance_classes, max_samples=max_samples)

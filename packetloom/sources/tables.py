@@ -20,7 +20,7 @@ CAPTURE_FILTERS = {
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode, then latin1."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "ISO-8859-1" if broken.count() else "UTF-8"
 
 
