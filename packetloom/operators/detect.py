@@ -33,7 +33,7 @@ def detections(
     packets: DataFrame, predictions: DataFrame | None = None, flood_threshold: float = 1000.0,
     detectors: dict[str, Detector] | None = None, cuts: Cuts | None = None,
 ) -> DataFrame:
-    """All detections, one row per packet and distinct text.
+    """All detections, one row per packet and detector.
 
     Detectors of single packets are columns exploded in place; the stateful ones emit only their
     hits, so the results meet in a union instead of packet-wide joins.
@@ -51,7 +51,7 @@ def detections(
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found.distinct()
+    return found  # a detector names a packet once, and no two share a text
 
 
 def decision_chain(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:

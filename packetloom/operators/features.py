@@ -64,8 +64,8 @@ def features_47(packets: DataFrame, entropy: bool = True, reset: float | None =
     return _features_47(base, entropy)
 
 
-def features_69(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
-    """The 69-column connection record with running flow counts."""
+def features_69(packets: DataFrame, cuts: Cuts | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The 69-column connection record with running flow counts; columns to ``keep`` come along."""
     service = P.service_name(F.col("proto"), F.col("dport"), vocab.SERVICES_69)
     state = P.connection_flag_exact(F.col("tcp_flags"), P.is_tcp())
     zero = lambda names, value: [F.lit(value).alias(n) for n in names]
@@ -77,7 +77,7 @@ def features_69(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         *zero(vocab.ZERO_RATES_69, 0.0), *zero(vocab.ONE_RATES_69, 1.0),
         *one_hot(P.protocol_text(F.col("proto")), vocab.PROTOCOLS_69, "protocol_type"),
         *one_hot(F.col("_service"), vocab.SERVICE_COLUMNS_69, "service"),
-        *one_hot(F.col("_state"), vocab.FLAG_COLUMNS_69, "flag"))
+        *one_hot(F.col("_state"), vocab.FLAG_COLUMNS_69, "flag"), *(keep or []))
 
 
 def labelled_capture(packets: DataFrame, label: str, count: int | None = None, cuts: Cuts | None = None) -> DataFrame:
@@ -85,8 +85,7 @@ def labelled_capture(packets: DataFrame, label: str, count: int | None = None, c
     is_ip = packets.where(F.col("ip_version").isin(4, 6)) if "ip_version" in packets.columns else packets
     ids = F.concat_ws("-", "src_ip", "dst_ip", P.protocol_text(F.col("proto")), F.col("sport").cast("string"), F.col("dport").cast("string"))
     chosen = is_ip if count is None else is_ip.orderBy("ts_s", "pkt_id").limit(count)
-    flow_ids = chosen.select("pkt_id", ids.alias("flow_id"))
-    return features_69(chosen, cuts).join(flow_ids, "pkt_id").withColumn("label", F.lit(label))
+    return features_69(chosen.withColumn("flow_id", ids), cuts, ["flow_id"]).withColumn("label", F.lit(label))
 
 
 def flow_rates(src_bytes: Column, dst_bytes: Column, flow_duration: Column, packet_count: Column) -> dict[str, Column]:

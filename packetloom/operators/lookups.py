@@ -68,9 +68,14 @@ def drop_decided(packets: DataFrame, decisions: DataFrame, keys: list[str]) -> D
 
 
 def prefix_labels(files: DataFrame, name: str, prefixes: DataFrame, suffix: str = ".csv") -> DataFrame:
-    """Files with the label of every prefix their name starts with; other files drop out."""
-    hit = F.startswith(F.col(name), F.col("prefix")) & F.endswith(F.col(name), F.lit(suffix))
-    return files.join(F.broadcast(prefixes), hit)
+    """Files with the label of every prefix their name starts with; other files drop out.
+
+    Prefixes have few lengths, so each name is cut at those lengths and joined by equality.
+    """
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
+    cut = F.explode(F.array_distinct(F.array(*[F.substring(name, 1, n) for n in sorted(lengths)])))
+    named = files.where(F.endswith(F.col(name), F.lit(suffix))).select("*", cut.alias("prefix"))
+    return named.join(small_side(prefixes), "prefix")
 
 
 def keep_classes(df: DataFrame, label: str, min_rows: int = 2) -> DataFrame:

@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.operators.lookups import small_side
+
 PIVOTS = 256
 BLOCK_ROWS = 20_000
+CELL_ROWS = 50_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -64,15 +67,19 @@ def nearest(
     ref = ref.withColumn("cell", F.array_position("_d", F.array_min("_d")).cast("int")).withColumn("to_pivot", F.array_min("_d"))
     cells = ref.groupBy(*group, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("near"), F.max("to_pivot").alias("far"))
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    # without classes there are at most PIVOTS cells; with classes the check decides
+    checked = small_side(cells, CELL_ROWS)
+    bounded, cells = checked is not cells, checked
+    hint = F.broadcast if bounded else (lambda df: df)
     keyed = [*group, "cell"]
-    ref_blocks = ref.join(F.broadcast(cells.select(*keyed, "blocks")), keyed).select(  # pivots x classes rows
+    ref_blocks = ref.join(hint(cells.select(*keyed, "blocks")), keyed).select(
         *keyed, F.pmod(F.xxhash64(row_id), "blocks").cast("int").alias("block"),
         F.col(row_id).alias("neighbour_id"), F.col(vector).alias("neighbour_vector"))
 
     query = _with_pivot_distances(queries.select(F.col(row_id).alias("query_id"), F.col(vector).alias("query_vector"), *group), vector="query_vector", pivots=drawn, metric=metric)
     # home: the occupied cell whose pivot is nearest
     listed = cells.groupBy(*group).agg(F.collect_list(F.struct("cell", "near", "far", "blocks")).alias("cells"))
-    query = query.join(F.broadcast(listed), group) if group else query.withColumn("cells", listed.scalar())
+    query = query.join(hint(listed), group) if group else query.withColumn("cells", listed.scalar())
     home = F.array_min(F.transform("cells", lambda c: F.struct(F.element_at("_d", c["cell"]).alias("d"), c["cell"].alias("cell"))))["cell"]
     query = query.withColumn("home", home)
 
@@ -80,7 +87,7 @@ def nearest(
         """Best k per query and block for (query, cell) requests. Requests of a cell are dealt over
         tasks of at most about ``block_rows`` queries."""
         demand = wanted.groupBy(*keyed).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
-        demand = F.broadcast(demand)  # one row per cell
+        demand = hint(demand)  # at most one row per cell
         spread = wanted.join(demand, keyed).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int")).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         copies = ref_blocks.join(demand, keyed).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

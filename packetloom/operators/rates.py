@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.columns import one
 from packetloom.functions.packets import connection_flag_exact, is_tcp, service_name
 from packetloom.functions.verdicts import load_band
+from packetloom.operators.lookups import small_side
 from packetloom.operators.timeline import Cuts, cut_points, trailing
 from packetloom.vocab import SERVICES_69
 
@@ -32,7 +33,7 @@ def flood_alerts(packets: DataFrame, threshold: float = 1000.0, window: float =
     bounds = seconds.select(F.explode(F.sequence(F.col("sec"), F.col("sec") + reach)).alias("sec"), "n")
     hot = bounds.groupBy("sec").agg(F.sum("n").alias("most")).where(F.col("most") > threshold * window)
     needed = hot.select(F.explode(F.sequence(F.col("sec") - reach, F.col("sec"))).alias("sec")).distinct()
-    kept = packets.withColumn("sec", F.floor("ts_s")).join(needed, "sec", "left_semi")
+    kept = packets.withColumn("sec", F.floor("ts_s")).join(small_side(needed), "sec", "left_semi")
     found = flood_rate(kept, threshold, window, cuts=cuts).where("is_flood")
     return found.withColumn("alert", F.format_string("POTENTIAL_DOS_DETECTED: %.1f packets/second", "pps"))
 

@@ -10,11 +10,6 @@ from packetloom.operators.timeline import Cuts, cut_points, running, session_cel
 ORDER = ["ts_s", "pkt_id"]
 
 
-def _first_seen(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Earliest packet of every distinct ``value`` per (key, session)."""
-    return cells.groupBy(*keys, "_session", value).agg(F.min("at").alias("at"))
-
-
 def scan_state(packets: DataFrame, idle: float = 60.0, cuts: Cuts | None = None) -> DataFrame:
     """Running distinct ports and targets per source since it was last idle longer than ``idle``.
 
@@ -32,12 +27,13 @@ def scan_state(packets: DataFrame, idle: float = 60.0, cuts: Cuts | None = None)
     ).select("src_ip", F.col("_cell").alias("slot"), "_session")
     cells = spans.join(sessions, ["src_ip", "slot"])
 
-    ports = _first_seen(cells, ["src_ip"], "dport").select(
-        "src_ip", "_session", "at", F.lit(1).cast("bigint").alias("new_port"), F.lit(0).cast("bigint").alias("new_target"))
-    targets = _first_seen(cells, ["src_ip"], "dst_ip").select(
-        "src_ip", "_session", "at", F.lit(0).cast("bigint").alias("new_port"), F.lit(1).cast("bigint").alias("new_target"))
-    sightings = ports.unionByName(targets).groupBy("src_ip", "_session", "at").agg(
-        F.sum("new_port").alias("new_port"), F.sum("new_target").alias("new_target"),
+    # ports and targets together: one row per distinct value and session, at its first packet
+    values = cells.select("src_ip", "_session", "at", F.explode(F.array(
+        F.struct(F.lit(1).alias("is_port"), F.col("dport").cast("string").alias("value")),
+        F.struct(F.lit(0).alias("is_port"), F.col("dst_ip").alias("value")))).alias("v"))
+    firsts = values.groupBy("src_ip", "_session", "v").agg(F.min("at").alias("at"))
+    sightings = firsts.groupBy("src_ip", "_session", "at").agg(
+        F.count_if(F.col("v.is_port") == 1).alias("new_port"), F.count_if(F.col("v.is_port") == 0).alias("new_target"),
     ).select("src_ip", "_session", "at.*", "new_port", "new_target")
     counted = running(sightings, ["src_ip", "_session"], ORDER, cuts,
                       sums={"n_ports": F.col("new_port"), "n_targets": F.col("new_target")})

@@ -958,11 +958,11 @@ def score_packets(packets, kdd):
     """Train on the connection records, score every packet, and apply the gates."""
     from packetloom.plans.training import gated, score, train_model
 
-    records = features.features_69(packets)
+    records = features.features_69(packets, keep=["proto"])
     names = vocab.KDD_MODEL_COLUMNS
     labelled = materialise(encoding.encode_label(records.join(kdd.select("pkt_id", "label"), "pkt_id"), "label"), "records")
     trained = train_model("random_forest", labelled, labelled, names, ["pkt_id"], maxDepth=5)
-    scored = score(records.join(packets.select("pkt_id", "proto"), "pkt_id"), trained.model, names, ["pkt_id", "sport", "dport", "proto"])
+    scored = score(records, trained.model, names, ["pkt_id", "sport", "dport", "proto"])
     return gated(scored, "sport", "dport", "proto").select("pkt_id", "predicted", "confidence", "outcome")
 
 
@@ -1148,3 +1148,35 @@ def stream_dashboard(packets):
 
     out = replay(packets, lambda stream, path, checkpoint: dashboard_to_table(plain_events(stream()), path, checkpoint))
     return out.groupBy("metric", "key").agg(F.sum("value").alias("value"))
+
+
+@query("predictions_multi", "packets")
+def stream_predictions_30s(predictions, packets):
+    from packetloom.streaming.jobs import prediction_counts_stream
+    from packetloom.streaming.replay import replay
+
+    timed = predictions.select("pkt_id", "predicted").join(packets.select("pkt_id", "ts_s"), "pkt_id")
+    return replay(timed, _append(lambda s: prediction_counts_stream(s, "predicted")), close=True)
+
+
+@query("packets", "nslkdd")
+def stream_scoring(packets, kdd):
+    """A model trained on the batch records scores the packets as they land."""
+    from packetloom.plans.training import score, train_model
+    from packetloom.streaming.jobs import score_stream
+    from packetloom.streaming.replay import replay
+
+    names = ["length", "ttl", "sport", "dport", "tcp_flags", "tcp_window"]
+    labelled = materialise(encoding.encode_label(packets.join(kdd.select("pkt_id", "label"), "pkt_id"), "label"), "records")
+    model = train_model("decision_tree", labelled, labelled, names, ["pkt_id"], maxDepth=4).model
+    scorer = lambda df: score(df, model, names, ["pkt_id", "ts_s"]).select("pkt_id", "ts_s", "predicted", "confidence")
+    return replay(packets, _append(lambda s: score_stream(s, scorer))).drop("ts_s")
+
+
+@query("packets")
+def stream_packet_events(packets):
+    """Every landed packet as one row of the packet_events table."""
+    from packetloom.streaming.jobs import plain_events
+    from packetloom.streaming.replay import replay
+
+    return replay(packets, _append(plain_events)).drop("ts_s")

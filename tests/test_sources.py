@@ -77,3 +77,21 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_json(spark, str(tmp_path / "meta")) == {"a": [1, 2]}
     sinks.write_labelled(df, str(tmp_path / "by_label"))
     assert sorted(p.name for p in (tmp_path / "by_label").glob("label=*")) == ["label=a", "label=b"]
+
+
+def test_capture_job(spark, tmp_path):
+    from packetloom import vocab
+    from packetloom.plans import captures, training
+
+    tcp = struct.pack("!HHIIBBHHH", 1234, 80, 7, 9, 5 << 4, 0x02, 512, 0, 0) + b"GET /"
+    udp = struct.pack("!HHHH", 53, 5353, 8 + 3, 0) + b"abc"
+    (tmp_path / "neptune_1.pcap").write_bytes(capture([frame(6, tcp)] * 5))
+    (tmp_path / "smurf_1.pcap").write_bytes(capture([frame(17, udp)] * 4))
+    records = captures.capture_features(spark, str(tmp_path))
+    assert {(r["label"], r["n"]) for r in records.groupBy("label").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == {("neptune", 5), ("smurf", 4)}
+    captures.extract_captures(spark, str(tmp_path), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("label=*")) == ["label=neptune", "label=smurf"]
+    coded = records.selectExpr("*", "CASE label WHEN 'neptune' THEN 9 ELSE 18 END AS code").drop("label").withColumnRenamed("code", "label")
+    model = training.train_model("decision_tree", coded, coded, vocab.KDD_MODEL_COLUMNS, ["pkt_id"], maxDepth=3).model
+    found = captures.score_captures(spark, str(tmp_path), model)
+    assert {(r["file"], r["prediction"]) for r in found.collect()} == {("neptune_1.pcap", "neptune"), ("smurf_1.pcap", "smurf")}
