@@ -89,11 +89,10 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_pcaps(spark: SparkSession, folder: str, pattern: str = "*.pcap") -> DataFrame:
-    """Packets of every capture file below ``folder``; ``pkt_id`` counts inside a file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    # capture files do not split: spread them so that each is its own task
-    spread = files.select("path", "content", "length").repartition("path").select("path", "content")
-    return spread.mapInPandas(_expand, PACKET_SCHEMA)
+    """Packets of every capture file in ``folder``; ``pkt_id`` counts inside a file."""
+    # capture files do not split; small ones share a task, a large one is a task of its own
+    files = spark.read.format("binaryFile").load(f"{folder}/{pattern}").select("path", "content")
+    return files.mapInPandas(_expand, PACKET_SCHEMA)
 
 
 def labelled_pcaps(spark: SparkSession, folder: str) -> DataFrame:
