@@ -57,13 +57,13 @@ def byte_entropy(data: pd.Series) -> pd.Series:
 def text_entropy(text: Column) -> Column:
     """Shannon entropy (bits) over characters, without leaving the JVM; for short texts.
 
-    The distinct characters are few, so each is counted with one ``replace`` over the text.
+    The distinct characters are few, so each is counted with one ``replace`` over the text;
+    H = log2(n) - sum(c * log2(c)) / n.
     """
-    n = F.length(text)
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    distinct = F.array_distinct(F.split(text, ""))
-    total = F.aggregate(distinct, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+    n = F.length(text).cast("double")
+    counts = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
+    return F.when(n > 0, F.log2(n) - weighted / n).otherwise(F.lit(0.0))
 
 
 def nop_sled(data: Column) -> Column:

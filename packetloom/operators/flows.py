@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import one
@@ -56,45 +56,66 @@ def flow_sessions(packets: DataFrame, keys: list[str] = FIVE_TUPLE, idle: float
                            "last_seen", "packets", "bytes")
 
 
-def _union_of(sets: str):
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(sets))))
+FLAG_WORDS = 4  # the 256 flag bytes as bits of four bigints
+
+
+def _flag_words(flags: Column) -> list[Column]:
+    """One bit per flag byte seen, spread over four words, for ``bit_or``."""
+    bit = F.expr("shiftleft(1L, tcp_flags % 64)")
+    return [F.when(F.floor(flags / 64) == w, bit).otherwise(F.lit(0).cast("bigint")) for w in range(FLAG_WORDS)]
+
+
+def _flag_values(words: list[str]) -> Column:
+    """The flag bytes whose bits are set, ascending."""
+    def of_word(number: int, word: str) -> Column:
+        set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(word), i) == 1)
+        return F.transform(set_bits, lambda i: i + 64 * number)
+
+    return F.concat(*[of_word(n, w) for n, w in enumerate(words)])
+
+
+def _present(*values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*values))))
 
 
 def bidirectional_flows(packets: DataFrame, idle: float = IDLE, cuts: Cuts | None = None) -> DataFrame:
     """One row per direction-free flow and activity period.
 
-    Lists of lengths and gaps are kept as moments, so a flow's state has a fixed size; port,
-    service and flag sets are bounded by their domains. All of it combines map-side.
+    A flow's state has a fixed size, so all of it combines map-side in hash aggregates: lists of
+    lengths and gaps are kept as moments, and since the key names both ports, the port and service
+    sets follow from the directions seen.
     """
     keyed = bidirectional(packets.select(*ORDER, *FIVE_TUPLE, "length", "tcp_flags"))
     cuts = cuts or cut_points(packets, "ts_s")
     timed = running(keyed, FLOW_KEY, ORDER, cuts, prevs={"prev_ts": F.col("ts_s")})
     pause = F.col("ts_s") - F.col("prev_ts")
-    is_tcp = F.col("proto") == TCP
     rows = timed.withColumns({
         "iat": F.when(pause <= idle, pause).otherwise(F.lit(0.0)),
-        "tcp_sport": F.when(is_tcp, F.col("sport")), "tcp_dport": F.when(is_tcp, F.col("dport")),
-        "flag_set": F.when(is_tcp, F.col("tcp_flags")),
-        "service": flow_service(F.col("proto"), F.col("dport")),
+        # a row after a longer pause opens the period and gives it its direction
+        "opens_reverse": F.when(pause.isNull() | (pause > idle), F.col("is_reverse")),
     })
-    length = F.col("length").cast("bigint")
-    cells = session_cells(
-        rows, FLOW_KEY, "ts_s", idle,
-        F.count(F.lit(1)).alias("n"), F.sum(length).alias("b"), F.min("length").alias("len_min"),
-        F.max("length").alias("len_max"), F.sum(length * length).alias("len_sq"),
-        F.sum("iat").alias("iat_sum"), F.max("iat").alias("iat_max"),
-        F.min_by("is_reverse", F.struct(*ORDER)).alias("first_reverse"), F.min(F.struct(*ORDER)).alias("at"),
-        *[F.collect_set(c).alias(f"{c}_set") for c in ("tcp_sport", "tcp_dport", "flag_set", "service")],
-    )
-    return cells.groupBy(*FLOW_KEY, F.col("_session").alias("first_seen")).agg(
+    length, is_tcp = F.col("length").cast("bigint"), F.col("proto") == TCP
+    words = [f"flags_{w}" for w in range(FLAG_WORDS)]
+    aggregates = {
+        "n": F.count(F.lit(1)), "b": F.sum(length), "len_min": F.min("length"), "len_max": F.max("length"), "len_sq": F.sum(length * length),
+        "iat_sum": F.sum("iat"), "iat_max": F.max("iat"), "opened_reverse": F.max("opens_reverse"),
+        "any_forward": F.bool_or(~F.col("is_reverse")), "any_reverse": F.bool_or("is_reverse"),
+        **{w: F.bit_or(F.when(is_tcp, c).otherwise(F.lit(0).cast("bigint"))) for w, c in zip(words, _flag_words(F.col("tcp_flags")))},
+    }
+    cells = session_cells(rows, FLOW_KEY, "ts_s", idle, *[c.alias(n) for n, c in aggregates.items()])
+    merged = cells.groupBy(*FLOW_KEY, F.col("_session").alias("first_seen")).agg(
         F.max("_last").alias("last_seen"), F.sum("n").alias("packets"), F.sum("b").alias("bytes"),
-        F.min("len_min").alias("min_length"), F.max("len_max").alias("max_length"),
-        F.sum("len_sq").alias("length_squares"),
-        F.sum("iat_sum").alias("iat_total"), F.max("iat_max").alias("iat_max"),
-        F.min_by("first_reverse", "at").alias("is_reverse"),
-        _union_of("tcp_sport_set").alias("src_ports"), _union_of("tcp_dport_set").alias("dst_ports"),
-        _union_of("flag_set_set").alias("flag_values"), _union_of("service_set").alias("services"),
-    )
+        F.min("len_min").alias("min_length"), F.max("len_max").alias("max_length"), F.sum("len_sq").alias("length_squares"),
+        F.sum("iat_sum").alias("iat_total"), F.max("iat_max").alias("iat_max"), F.max("opened_reverse").alias("is_reverse"),
+        F.bool_or("any_forward").alias("fwd"), F.bool_or("any_reverse").alias("rev"), *[F.bit_or(w).alias(w) for w in words])
+    fwd, rev = F.col("fwd") & is_tcp, F.col("rev") & is_tcp
+    port_a, port_b, proto = F.col("port_a"), F.col("port_b"), F.col("proto")
+    return merged.select(
+        *FLOW_KEY, "first_seen", "last_seen", "packets", "bytes", "min_length", "max_length", "length_squares", "iat_total", "iat_max", "is_reverse",
+        _present(F.when(fwd, port_a), F.when(rev, port_b)).alias("src_ports"),
+        _present(F.when(fwd, port_b), F.when(rev, port_a)).alias("dst_ports"),
+        _flag_values(words).alias("flag_values"),
+        _present(F.when(fwd, flow_service(proto, port_b)), F.when(rev, flow_service(proto, port_a))).alias("services"))
 
 
 def flow_totals(flows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.packets import is_whitelisted_port, protocol_name
-from packetloom.operators.lookups import in_networks
+from packetloom.operators.lookups import in_networks, small_side
 from packetloom.operators.timeline import Cuts, cut_points, running
 from packetloom.vocab import WHITELISTED_NETWORKS
 
@@ -92,6 +92,15 @@ def match_alerts(packets: DataFrame, alerts: DataFrame, window: float = 30.0, cu
     (tier 3) twice.
     """
     cuts = cuts or cut_points(packets, "ts_s")
+    slot = F.floor(F.col("ts_s") / F.lit(float(window)))
+
+    def near_alerts(rows: DataFrame, hits: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows whose key has an alert in the same or the previous window-long slot. Only worth it
+        while the alerted slots are few enough to broadcast; the match itself does not need it."""
+        slots = hits.select(*keys, F.explode(F.array(slot, slot + 1)).alias("_slot")).distinct()
+        few = small_side(slots)
+        return rows if few is slots else rows.withColumn("_slot", slot).join(few, [*keys, "_slot"], "left_semi").drop("_slot")
+
     pair = lambda a, b: [F.least(a, b).alias("ip_a"), F.greatest(a, b).alias("ip_b")]
     found = F.struct("ts_s", F.col("event_no"))
 
@@ -99,7 +108,7 @@ def match_alerts(packets: DataFrame, alerts: DataFrame, window: float = 30.0, cu
                            "event_no", F.col("src_ip").alias("alert_src"))
     p_rows = packets.select(*pair("src_ip", "dst_ip"), "ts_s", F.col("pkt_id").alias("_seq"), "pkt_id", "src_ip", "dst_ip")
     # alerts of the pair in either direction, seen from the smaller address
-    from_a = _latest(p_rows, a_rows, ["ip_a", "ip_b"], {
+    from_a = _latest(near_alerts(p_rows, a_rows, ["ip_a", "ip_b"]), a_rows, ["ip_a", "ip_b"], {
         "up": F.when(F.col("alert_src") == F.col("ip_a"), found),
         "down": F.when(F.col("alert_src") == F.col("ip_b"), found),
     }, cuts)
@@ -113,7 +122,7 @@ def match_alerts(packets: DataFrame, alerts: DataFrame, window: float = 30.0, cu
                            F.col("event_no").alias("_seq"), "event_no")
     p_ends = packets.select(F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("ip"), "ts_s",
                             F.col("pkt_id").alias("_seq"), "pkt_id")
-    touching = _latest(p_ends, a_ends, ["ip"], {"hit": F.when(F.col("_is_row") == 0, found)}, cuts).select(
+    touching = _latest(near_alerts(p_ends, a_ends, ["ip"]), a_ends, ["ip"], {"hit": F.when(F.col("_is_row") == 0, found)}, cuts).select(
         "pkt_id", F.col("ts_s").alias("at"), F.struct(F.lit(3).alias("tier"), F.col("hit")).alias("c"))
 
     fresh = pairs.unionByName(touching).where(F.col("c.hit").isNotNull() & (F.col("at") - F.col("c.hit.ts_s") <= window))

@@ -28,7 +28,7 @@ def split_by_quota(df: DataFrame, label: str, quotas: DataFrame, seed: int = 42,
 
     ``quotas`` has one row per class (``label``, ``quota``). ``row_id`` names a unique key; without
     one the whole row is hashed, and copies of a row, being interchangeable, are counted and
-    repeated instead of ranked one by one.
+    repeated instead of ranked one by one. Rows without a label belong to no class and are left out.
     """
     columns = df.columns
     quotas = small_side(quotas)

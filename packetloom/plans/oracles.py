@@ -507,7 +507,6 @@ ORACLES["stream_rate_limit"] = ORACLES["rate_limit"]
 oracle("stream_decisions", P, f"SELECT pkt_id, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {FIVE} ORDER BY ts_s, pkt_id) > 1 THEN 'cached_benign' ELSE 'common_port' END AS decision FROM packets WHERE {DROPPED}")
 ORACLES["stream_alert_ingest"] = ORACLES["alert_normalise"]
 oracle("stream_alert_fusion", ("eve",), "SELECT pkt_id, tier, event_no FROM best", FUSED)
-oracle("stream_dashboard", P, f"""SELECT metric, "key", CAST(COUNT(*) AS BIGINT) AS "value" FROM (SELECT 'total_packets' AS metric, 'all' AS "key" FROM packets UNION ALL SELECT 'protocols', {PROTO_NAME} FROM packets
-UNION ALL SELECT 'sources', src_ip || ':' || sport FROM packets UNION ALL SELECT 'destinations', dst_ip || ':' || dport FROM packets) GROUP BY 1, 2""")
+ORACLES["stream_dashboard"] = ORACLES["dashboard_snapshot"]
 ORACLES["stream_predictions_30s"] = ORACLES["predictions_30s"]
 oracle("stream_packet_events", P, f"SELECT pkt_id, src_ip, sport AS src_port, dst_ip, dport AS dst_port, {PROTO_NAME} AS protocol, length, false AS is_alert, CAST(NULL AS INTEGER) AS severity FROM packets")

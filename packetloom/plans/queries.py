@@ -1141,13 +1141,15 @@ def stream_alert_fusion(packets, eve):
     return replay(landed, run, origin=DAY).select("pkt_id", "tier", "event_no")
 
 
-@query("packets")
-def stream_dashboard(packets):
-    from packetloom.streaming.jobs import dashboard_to_table, plain_events
+@query("packets", "eve")
+def stream_dashboard(packets, eve):
+    """Packet events with their alerts land as a stream and feed the dashboard tables."""
+    from packetloom.streaming.jobs import dashboard_to_table, read_dashboard
     from packetloom.streaming.replay import replay
 
-    out = replay(packets, lambda stream, path, checkpoint: dashboard_to_table(plain_events(stream()), path, checkpoint))
-    return out.groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    events = materialise(fusion.packet_events(packets, fusion.read_alerts(eve)), "events")
+    read = lambda path: read_dashboard(packets.sparkSession, path)
+    return replay(events, lambda stream, path, checkpoint: dashboard_to_table(stream(), path, checkpoint), read=read)
 
 
 @query("predictions_multi", "packets")

@@ -15,12 +15,12 @@ FAR = 10_000_000.0
 
 
 def replay(table: DataFrame, run: Callable[[Callable[[], DataFrame], str, str], None], slices: int = 2, close: bool = False,
-           origin: float = 0.0) -> DataFrame:
+           origin: float = 0.0, read: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """Land ``table`` in ``slices`` time slices, run the job after each from its checkpoint, and
     return what it wrote.
 
     ``run(stream, path, checkpoint)`` starts one pass. ``close`` lands a final far-future row that
-    moves the watermark past every open window.
+    moves the watermark past every open window. ``read`` reads outputs that are not one table.
     """
     spark = table.sparkSession
     landing, path, checkpoint = (run_folder(spark, n) for n in ("landing", "out", "checkpoint"))
@@ -35,4 +35,4 @@ def replay(table: DataFrame, run: Callable[[Callable[[], DataFrame], str, str],
         last = table.where(F.col("ts_s") == hi).limit(1).withColumn("ts_s", F.lit(hi + FAR))
         last.write.mode("append").parquet(landing)
         run(stream, path, checkpoint)
-    return spark.read.parquet(path)
+    return read(path) if read else spark.read.parquet(path)
