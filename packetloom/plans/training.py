@@ -25,14 +25,14 @@ from packetloom.session import materialise
 from packetloom.sources import sinks, tables
 
 TUNING_ROWS = 100_000
-# name -> (lowest, highest) of the random search; integers stay integers
+# name -> (lowest, highest) of the random search, or a choice of texts; integers stay integers
 SEARCH_SPACE: dict[str, dict[str, tuple]] = {
     "random_forest": {"numTrees": (50, 200), "maxDepth": (5, 30), "minInstancesPerNode": (1, 5)},
     "gradient_boosting": {"maxIter": (100, 300), "maxDepth": (3, 10), "stepSize": (0.01, 0.21)},
     "xgboost": {"maxIter": (100, 500), "maxDepth": (3, 15), "stepSize": (0.01, 0.31), "subsamplingRate": (0.6, 1.0)},
     "logistic_regression": {"C": (0.1, 10.1)},
     "decision_tree": {"maxDepth": (5, 30), "minInstancesPerNode": (1, 5)},
-    "knn": {"k": (3, 20)},
+    "knn": {"k": (3, 20), "weights": ("uniform", "distance"), "metric": ("euclidean", "manhattan")},
 }
 
 
@@ -77,8 +77,13 @@ def estimator(name: str, classes: int, rows: int = 1, weight: str | None = None,
 def draw_params(name: str, n: int, seed: int = 42) -> list[dict]:
     """Random draws from the search space of a model."""
     rng = random.Random(seed)
-    pick = lambda lo, hi: rng.randint(lo, hi) if isinstance(lo, int) else rng.uniform(lo, hi)
-    return [{p: pick(*bounds) for p, bounds in SEARCH_SPACE[name].items()} for _ in range(n)]
+
+    def pick(bounds: tuple):
+        if isinstance(bounds[0], str):
+            return rng.choice(bounds)
+        return rng.randint(*bounds) if isinstance(bounds[0], int) else rng.uniform(*bounds)
+
+    return [{p: pick(bounds) for p, bounds in SEARCH_SPACE[name].items()} for _ in range(n)]
 
 
 def random_search(name: str, train: DataFrame, classes: int, row_id: list[str], n_iter: int = 5, folds: int = 3, seed: int = 42,
@@ -90,15 +95,20 @@ def random_search(name: str, train: DataFrame, classes: int, row_id: list[str],
         train = sampling.split_by_quota(train, "label", sampling.class_sizes(train, "label").select(
             "label", F.greatest(F.lit(1), F.round(F.col("n") * (TUNING_ROWS / rows))).cast("bigint").alias("quota")), seed, row_id).where("chosen").drop("chosen")
     folded = train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(folds)).cast("int"))
-    best, best_score = {}, -1.0
-    for params in space or draw_params(name, n_iter, seed):
-        # each draw is its own estimator, since the parameter names differ between wrapped models
-        cv = CrossValidator(estimator=estimator(name, classes, rows, **{**fixed, **params}), estimatorParamMaps=[{}], evaluator=MacroF1(),
-                            numFolds=folds, foldCol="_fold", parallelism=parallelism, seed=seed)
-        score = cv.fit(folded).avgMetrics[0]
-        if score > best_score:
-            best, best_score = params, float(score)
-    return best, best_score
+    model = estimator(name, classes, rows, **fixed)
+    draws = space or draw_params(name, n_iter, seed)
+    cv = CrossValidator(estimator=model, estimatorParamMaps=[_param_map(model, d, rows) for d in draws], evaluator=MacroF1(),
+                        numFolds=folds, foldCol="_fold", parallelism=parallelism, seed=seed)
+    scores = [float(v) for v in cv.fit(folded).avgMetrics]
+    best = max(range(len(draws)), key=lambda i: scores[i])
+    return draws[best], scores[best]
+
+
+def _param_map(model, params: dict, rows: int) -> dict:
+    """Parameters by name on the estimator, or on the one a one-vs-rest model wraps."""
+    inner = model.getClassifier() if isinstance(model, OneVsRest) else model
+    named = {("regParam" if k == "C" else k): (1.0 / (v * max(rows, 1)) if k == "C" else v) for k, v in params.items()}
+    return {inner.getParam(k): v for k, v in named.items()}
 
 
 @dataclass
@@ -175,6 +185,18 @@ def train_knn(train: DataFrame, test: DataFrame, features: list[str], row_id: st
     return {"model_name": "knn", **evaluate.macro_metrics(scored, "label", "predicted").first().asDict()}
 
 
+def search_knn(train: DataFrame, features: list[str], row_id: str, n_iter: int = 5, folds: int = 3, seed: int = 42,
+               space: list[dict] | None = None) -> tuple[dict, float]:
+    """Best neighbour count, vote and metric by cross-validated macro F1."""
+    folded = materialise(train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(folds))), "folds")
+    best, best_score = {}, -1.0
+    for params in space or draw_params("knn", n_iter, seed):
+        scores = [train_knn(folded.where(F.col("_fold") != i), folded.where(F.col("_fold") == i), features, row_id, **params)["f1_score"] for i in range(folds)]
+        if sum(scores) / folds > best_score:
+            best, best_score = params, sum(scores) / folds
+    return best, best_score
+
+
 def train_all(names: list[str], train: DataFrame, test: DataFrame, features: list[str], row_id: list[str], path: str | None = None, **options) -> DataFrame:
     """Train every named model; models and metrics go to ``path``; returns the leaderboard."""
     results = []

@@ -35,6 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder

@@ -77,16 +77,17 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_directory(spark: SparkSession, folder: str) -> DataFrame:
+def read_directory(spark: SparkSession, folder: str, encoding: str | None = None, same_header: bool = False) -> DataFrame:
     """All ``*.csv`` and ``*.parquet`` of a folder as one table.
 
     CSV files are grouped by header, one scan per distinct header; Parquet files are one scan.
+    The probes of header (per file) and encoding (a pass over the text) can be skipped by telling.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in _paths(spark, f"{folder}/*.csv"):
-        header = tuple(spark.read.option("header", True).csv(path).columns)
+        header = () if same_header else tuple(spark.read.option("header", True).csv(path).columns)
         by_header.setdefault(header, []).append(path)
-    parts = [read_csv(spark, paths, csv_encoding(spark, paths)) for paths in by_header.values()]
+    parts = [read_csv(spark, paths, encoding or csv_encoding(spark, paths)) for paths in by_header.values()]
     if _paths(spark, f"{folder}/*.parquet"):
         parts.append(read_parquet(spark, f"{folder}/*.parquet"))
     if not parts:

@@ -48,6 +48,9 @@ def test_random_search_prefers_the_better_model(table):
 def test_knn_metrics(table):
     test = F.col("id") % 5 == 0
     assert training.train_knn(table.where(~test), table.where(test), ["a", "b"], "id")["accuracy"] > 0.8
+    best, score = training.search_knn(table, ["a", "b"], "id", folds=2, space=[{"k": 3}, {"k": 5, "weights": "distance"}])
+    assert best in ({"k": 3}, {"k": 5, "weights": "distance"}) and score > 0.8
+    assert {type(v) for v in training.draw_params("knn", 1)[0].values()} == {int, str}
 
 
 def test_end_to_end(spark, table, tmp_path):
