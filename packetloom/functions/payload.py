@@ -61,7 +61,10 @@ def text_entropy(text: Column) -> Column:
     H = log2(n) - sum(c * log2(c)) / n.
     """
     n = F.length(text).cast("double")
-    counts = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    # splitting is faster but cuts UTF-16 units, so it serves plain ASCII only
+    whole = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    characters = F.when(F.octet_length(text) == F.length(text), F.split(text, "")).otherwise(whole)
+    counts = F.transform(F.array_distinct(characters), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
     weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
     return F.when(n > 0, F.log2(n) - weighted / n).otherwise(F.lit(0.0))
 

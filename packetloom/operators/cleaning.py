@@ -141,10 +141,26 @@ def standardise_labels(df: DataFrame, label: str | None = None, binary: bool = F
     return df.withColumn(label, standardise_label(F.col(label), binary)).withColumnRenamed(label, "label")
 
 
+INTEGER_RANGES = {"tinyint": 7, "smallint": 15, "int": 31}
+
+
+def _compact(col: Column, source: str, target: str) -> Column:
+    """The value in the wanted type, null where it does not fit.
+
+    Integer targets test the range first: a failing ``try_cast`` costs an exception per value.
+    """
+    if target not in INTEGER_RANGES:
+        return col.try_cast(target)
+    number = col.try_cast("double") if source == "string" else col
+    limit = 2 ** INTEGER_RANGES[target]
+    return F.when((number >= -limit) & (number <= limit - 1), number.cast(target))
+
+
 def typed_load(df: DataFrame, types: dict[str, list[str]] | None = None) -> DataFrame:
     """Known columns in compact types; values that do not fit become null."""
     wanted = {c: t for t, names in (types or FLOW_TABLE_TYPES).items() for c in names}
-    return df.select(*[F.col(c).try_cast(wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    sources = dict(df.dtypes)
+    return df.select(*[_compact(F.col(c), sources[c], wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
 
 
 def column_types(df: DataFrame) -> DataFrame:

@@ -657,9 +657,12 @@ def one_hot_all(df):
 def one_hot_vocab(packets):
     from packetloom.functions.columns import one_hot
 
-    return packets.select("pkt_id", *one_hot(P.protocol_text(F.col("proto")), vocab.PROTOCOLS_69, "protocol_type"),
-                          *one_hot(P.service_name(F.col("proto"), F.col("dport"), vocab.SERVICES_69), vocab.SERVICE_COLUMNS_69, "service"),
-                          *one_hot(P.connection_flag_exact(F.col("tcp_flags"), P.is_tcp()), vocab.FLAG_COLUMNS_69, "flag"))
+    # named first, so that a lookup runs once per row and not once per column
+    named = packets.withColumns({
+        "_service": P.service_name(F.col("proto"), F.col("dport"), vocab.SERVICES_69),
+        "_flag": P.connection_flag_exact(F.col("tcp_flags"), P.is_tcp())})
+    return named.select("pkt_id", *one_hot(P.protocol_text(F.col("proto")), vocab.PROTOCOLS_69, "protocol_type"),
+                        *one_hot(F.col("_service"), vocab.SERVICE_COLUMNS_69, "service"), *one_hot(F.col("_flag"), vocab.FLAG_COLUMNS_69, "flag"))
 
 
 @query("cic_flows")

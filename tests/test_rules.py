@@ -32,6 +32,8 @@ def test_shellcode_reads_bytes(spark):
 
 def test_entropy(spark):
     assert values(spark, [("aabb",), ("a",), ("",), (None,)], "p string", lambda: B.text_entropy(F.col("p"))) == [1.0, 0.0, 0.0, 0.0]
+    # characters outside the basic plane count as one
+    assert values(spark, [("\U0001F600\U0001F601",)], "p string", lambda: B.text_entropy(F.col("p"))) == [1.0]
     assert values(spark, [(b"aabb",), (b"",), (None,)], "p binary", lambda: B.byte_entropy("p")) == [1.0, 0.0, 0.0]
 
 
@@ -85,3 +87,9 @@ def test_networks(spark):
 def test_constant_columns(spark):
     table = spark.createDataFrame([(1, 1, None), (1, 2, None), (None, 2, None)], "a int, b int, c int")
     assert cleaning.constant_columns(table) == ["a"]
+
+
+def test_typed_load_nulls_what_does_not_fit(spark):
+    table = spark.createDataFrame([("127", 1.0), ("128", 3e9), ("x", float("nan")), ("-128", -5.0), (None, None)], "protocol string, src_port double")
+    assert [tuple(r) for r in cleaning.typed_load(table).collect()] == [(127, 1), (None, None), (None, None), (-128, -5), (None, None)]
+    assert cleaning.typed_load(table).dtypes == [("protocol", "tinyint"), ("src_port", "int")]
