@@ -12,6 +12,8 @@ from packetloom.session import run_folder
 from packetloom.streaming.sources import packet_stream
 
 FAR = 10_000_000.0
+PARTITIONS_CONF = "spark.sql.shuffle.partitions"
+ROWS_PER_PARTITION = 1_000_000
 
 
 def replay(table: DataFrame, run: Callable[[Callable[[], DataFrame], str, str], None], slices: int = 2, close: bool = False,
@@ -24,15 +26,27 @@ def replay(table: DataFrame, run: Callable[[Callable[[], DataFrame], str, str],
     """
     spark = table.sparkSession
     landing, path, checkpoint = (run_folder(spark, n) for n in ("landing", "out", "checkpoint"))
-    lo, hi = table.agg(F.min("ts_s"), F.max("ts_s")).first()
+    lo, hi, n = table.agg(F.min("ts_s"), F.max("ts_s"), F.count(F.lit(1))).first()
     width = (hi - lo) / slices or 1.0
     stream = functools.partial(packet_stream, spark, landing, table.schema, origin=origin)
+    # a streaming query fixes its state partitions at the first start and never coalesces them:
+    # size them to the table, not beyond the session's setting
+    session_partitions = spark.conf.get(PARTITIONS_CONF)
+    wanted = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
+    spark.conf.set(PARTITIONS_CONF, str(min(int(session_partitions), wanted)))
+    try:
+        _land_and_run(table, landing, lambda: run(stream, path, checkpoint), lo, hi, width, slices, close)
+    finally:
+        spark.conf.set(PARTITIONS_CONF, session_partitions)
+    return read(path) if read else spark.read.parquet(path)
+
+
+def _land_and_run(table: DataFrame, landing: str, step: Callable[[], None], lo: float, hi: float, width: float, slices: int, close: bool) -> None:
     for i in range(slices):
         inside = (F.col("ts_s") >= lo + i * width) & ((F.col("ts_s") < lo + (i + 1) * width) if i + 1 < slices else F.lit(True))
         table.where(inside).write.mode("append").parquet(landing)
-        run(stream, path, checkpoint)
+        step()
     if close:
         last = table.where(F.col("ts_s") == hi).limit(1).withColumn("ts_s", F.lit(hi + FAR))
         last.write.mode("append").parquet(landing)
-        run(stream, path, checkpoint)
-    return read(path) if read else spark.read.parquet(path)
+        step()
