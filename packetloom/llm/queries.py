@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.llm.context_tree import lm_scores
 from packetloom.llm.ngram_join import jaccard_components
+from packetloom.llm.quality import quality_verdicts
 from packetloom.llm.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +18,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(load(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
