@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.context_tree import lm_scores
+from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
 from packetloom.llm.quality import quality_verdicts
 from packetloom.llm.tables import load
+from packetloom.llm.token_counts import token_counts
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
@@ -26,5 +37,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_source_mixing, op5_token_counts, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
