@@ -11,9 +11,10 @@ less than its ``v_i``. The larger document of a pair probes, the smaller is inde
   cost most; they get 0, paid for by slack of the band or by a 2 elsewhere.
 
 Documents with the same set are one class. Inside a bucket only the star to one hub is compared, not
-all pairs. What the stars leave open (buckets with several components) is compared pair by pair only
-where a lower bound on the difference allows a link: shingles that occur in no other open document
-count in full, and so does the difference of what both lack of the hub.
+all pairs; the hub is the member that shares most bucket places with others, so that a group of near
+copies gathers round its centre. What the stars leave open (buckets with several components) is
+compared pair by pair only where the parity sketches allow a link: shingles fall into 512 cells, and
+every cell whose parity differs holds at least one shingle that only one of the two has.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from packetloom.llm.words import mix, shingle_sets, slices
 from packetloom.session import materialise
 
 _SALT = np.uint64(0xA24BAED4963EE407)
+SKETCH = 8
 
 
 class Scheme:
@@ -103,6 +105,12 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     return int(mix(np.array([a]))[0].view(np.int64)), int(mix(np.array([b]))[0].view(np.int64))
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of 64 * SKETCH cells, as SKETCH longs."""
+    cells = mix(values + _SALT) % np.uint64(64 * SKETCH)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -110,13 +118,14 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _digests(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            sets = [(len(s), *set_digest(s)) for s in shingle_sets(piece.column("text"), shingle)]
-            n, h1, h2 = zip(*sets)
+            sets = [(len(s), *set_digest(s), sketch(s)) for s in shingle_sets(piece.column("text"), shingle)]
+            n, h1, h2, cells = zip(*sets)
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(n) + 1, SKETCH), pa.int32()), pa.array(np.concatenate(cells)))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())],
-                ["doc_id", "n", "h1", "h2"])
+                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), cells],
+                ["doc_id", "n", "h1", "h2", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, cells array<long>")
 
 
 def _signatures(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -155,12 +164,38 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "h1 long, h2 long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y: h1) with both classes' representatives, sizes and the size of the intersection."""
+def _buckets(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(key, h1, probe, hub) of all buckets with a probing and another member."""
+    by_key = Window.partitionBy("key")
+    keyed = _signatures(texts, shingle, num, den)
+    shared = materialise(
+        keyed.select("*", F.max("probe").over(by_key).alias("probed"), F.count(F.lit(1)).over(by_key).alias("members"),
+                     F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi"))
+        .where("probed and lo < hi").select("key", "h1", "probe", "members"), "jaccard-shared")
+    places = shared.groupBy("h1").agg(F.sum("members").alias("places"))
+    ranked = F.when(F.col("probe"), F.struct("places", "h1"))
+    return materialise(shared.join(places, "h1").select(
+        "key", "h1", "probe", F.max(ranked).over(by_key)["h1"].alias("hub")), "jaccard-buckets")
+
+
+def _possible(num: int, den: int) -> str:
+    """Condition on sizes and sketches of two sets (l_, r_) that every link meets."""
+    differ = " + ".join(f"bit_count(l_cells[{k}] ^ r_cells[{k}])" for k in range(SKETCH))
+    return f"{den} * l_n >= {num} * r_n and {den} * r_n >= {num} * l_n and ({differ}) * {den + num} <= (l_n + r_n) * {den - num}"
+
+
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b) representatives of the pairs (x, y: h1) whose sets are similar enough, exactly."""
+    wanted = pairs.select(F.col("x").alias("h1")).union(pairs.select(F.col("y").alias("h1"))).distinct()
+    needed = materialise(classes.select("h1", "h2", "rep", "n").join(wanted, "h1", "left_semi"), "jaccard-needed")
+    # sorted and merged at every size: which texts are needed grows with the corpus
+    picked = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = materialise(
+        _sets(picked, shingle).dropDuplicates(["h1", "h2"]).join(needed, ["h1", "h2"]).select("h1", "rep", "n", "items"), "jaccard-sets")
     left = sets.select(F.col("h1").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     right = sets.select(F.col("h1").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    return pairs.join(right, "y").join(left, "x").select(
-        "x", "y", "a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"))
+    both = pairs.join(right, "y").join(left, "x").select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("long").alias("inter"))
+    return both.where(f"{den} * inter >= {num} * (na + nb - inter)").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -175,32 +210,23 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     texts = only(docs, "doc_id", "text")
     rows = materialise(_digests(texts, shingle), "jaccard-digests")
     live = rows.where("doc_id is not null and n > 0")
-    classes = materialise(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
-
-    by_key = Window.partitionBy("key")
-    keyed = _signatures(texts.where("doc_id is not null"), shingle, num, den)
-    buckets = materialise(
-        keyed.select("*", F.min(F.when(F.col("probe"), F.col("h1"))).over(by_key).alias("hub"),
-                     F.min("h1").over(by_key).alias("lo"), F.max("h1").over(by_key).alias("hi"))
-        .where("hub is not null and lo < hi").select("key", "h1", "probe", "hub"), "jaccard-buckets")
-    stars = materialise(buckets.where("h1 <> hub").select(F.col("hub").alias("x"), F.col("h1").alias("y")).distinct(), "jaccard-stars")
-
-    wanted = stars.select(F.col("x").alias("h1")).union(stars.select(F.col("y").alias("h1"))).distinct()
-    needed = materialise(classes.join(wanted, "h1", "left_semi"), "jaccard-needed")
-    picked = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialise(
-        _sets(picked, shingle).dropDuplicates(["h1", "h2"]).join(needed, ["h1", "h2"]).select("h1", "rep", "n", "items"), "jaccard-sets")
-
-    linked = f"{den} * inter >= {num} * (na + nb - inter)"
-    checked = materialise(_verified(stars, sets), "jaccard-checked")
-    links = checked.where(linked).select("a", "b")
+    classes = materialise(live.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-classes")
+    briefs = classes.groupBy("h1").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+
+    buckets = _buckets(texts.where("doc_id is not null"), shingle, num, den)
+    left = briefs.select(F.col("h1").alias("x"), F.col("n").alias("l_n"), F.col("cells").alias("l_cells"))
+    right = briefs.select(F.col("h1").alias("y"), F.col("n").alias("r_n"), F.col("cells").alias("r_cells"))
+    stars = buckets.where("h1 <> hub").select(F.col("hub").alias("x"), F.col("h1").alias("y")).distinct()
+    stars = materialise(stars.join(right, "y").join(left, "x").where(_possible(num, den)).select("x", "y"), "jaccard-stars")
+    links = materialise(_links(stars, texts, classes, shingle, num, den), "jaccard-links")
     twice = classes.join(live.select("doc_id", "h1", "h2"), ["h1", "h2"]).groupBy("doc_id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = links.union(twice)
+    links = links.union(materialise(twice, "jaccard-twice"))
     roots = components(links, "jaccard-stars-joined")
-    more = _open_pairs(buckets, sets, checked, roots, num, den)
-    extra = _verified(more, sets).where(linked).select("a", "b")
-    extra = materialise(extra, "jaccard-extra")
+
+    more = materialise(_open_pairs(buckets, briefs, roots, num, den), "jaccard-open")
+    extra = materialise(_links(more, texts, classes, shingle, num, den), "jaccard-extra")
     if extra.limit(1).count():
         roots = components(links.union(extra), "jaccard-all")
 
@@ -211,24 +237,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
-def _open_pairs(buckets: DataFrame, sets: DataFrame, checked: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(buckets: DataFrame, briefs: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs in different components that share a bucket and may still link."""
-    known = sets.select("h1", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h1", "n", F.coalesce("component", "rep").alias("root"))
-    lacks = checked.groupBy(F.col("x").alias("hub"), F.col("y").alias("h1")).agg(F.min(F.col("na") - F.col("inter")).alias("lack"))
+    known = briefs.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "n", "cells", F.coalesce("component", "rep").alias("root"))
     by_key = Window.partitionBy("key")
-    rows = buckets.where("h1 <> hub").join(known, "h1").join(lacks, ["hub", "h1"])
+    rows = buckets.where("h1 <> hub").join(known.select("h1", "root"), "h1")
     rows = rows.select("*", F.min("root").over(by_key).alias("lo"), F.max("root").over(by_key).alias("hi"),
-                       F.max("probe").over(by_key).alias("probed")).where("lo < hi and probed").drop("lo", "hi", "probed")
-    rows = materialise(rows.dropDuplicates(["key", "h1", "root"]), "jaccard-open")
-    mine = rows.select("h1").distinct()
-    alone = sets.join(mine, "h1", "left_semi").select("h1", F.explode("items").alias("item")).groupBy("item").agg(
-        F.count(F.lit(1)).alias("c"), F.min("h1").alias("h1")).where("c = 1").groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
-    rows = rows.join(alone, "h1", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(
-        f"own * {den + num} <= 2 * n * {den - num} * {den / num}")
-    left = rows.select("key", *[F.col(c).alias(f"l_{c}") for c in ("h1", "probe", "n", "root", "lack", "own")])
-    right = rows.select("key", *[F.col(c).alias(f"r_{c}") for c in ("h1", "probe", "n", "root", "lack", "own")])
+                       F.max("probe").over(by_key).alias("probed")).where("lo < hi and probed").select("key", "h1", "probe", "root")
+    rows = materialise(rows.dropDuplicates(["key", "h1"]).join(known.drop("root"), "h1"), "jaccard-rows")
+    left = rows.select("key", *[F.col(c).alias(f"l_{c}") for c in ("h1", "probe", "n", "root", "cells")])
+    right = rows.select("key", *[F.col(c).alias(f"r_{c}") for c in ("h1", "probe", "n", "root", "cells")])
     return left.join(right, "key").where(
-        f"l_h1 < r_h1 and l_root <> r_root and (l_probe or r_probe) and {den} * l_n >= {num} * r_n and {den} * r_n >= {num} * l_n and "
-        f"(l_own + r_own + abs(l_lack - r_lack)) * {den + num} <= (l_n + r_n) * {den - num}"
+        f"l_h1 < r_h1 and l_root <> r_root and (l_probe or r_probe) and {_possible(num, den)}"
     ).select(F.col("l_h1").alias("x"), F.col("r_h1").alias("y")).distinct()
