@@ -12,11 +12,17 @@ from packetloom.llm.ngram_join import jaccard_components
 from packetloom.llm.quality import quality_verdicts
 from packetloom.llm.tables import load
 from packetloom.llm.token_counts import token_counts
+from packetloom.llm.warc import warc_round_trip
+from packetloom.llm.wrappers import main_texts
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(load(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"))
 
@@ -25,6 +31,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_round_trip(load(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
@@ -37,5 +48,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_source_mixing, op5_token_counts, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_source_mixing, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
