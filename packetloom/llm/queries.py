@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.context_tree import lm_scores
+from packetloom.llm import licenses
 from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
 from packetloom.llm.quality import quality_verdicts
@@ -27,6 +28,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(load(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,5 +53,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_source_mixing, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle_sql()}
