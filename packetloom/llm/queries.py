@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.context_tree import lm_scores
 from packetloom.llm import licenses
+from packetloom.llm.decontaminate import benchmark_matches
 from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
 from packetloom.llm.quality import quality_verdicts
@@ -24,6 +25,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(load(spark, sf_dir, "pages"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(load(spark, sf_dir, "documents"))
 
@@ -53,5 +58,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle_sql()}
