@@ -11,6 +11,7 @@ from packetloom.llm import licenses
 from packetloom.llm.decontaminate import benchmark_matches
 from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
+from packetloom.llm.pii import pii_spans
 from packetloom.llm.quality import quality_verdicts
 from packetloom.llm.tables import load
 from packetloom.llm.token_counts import token_counts
@@ -54,9 +55,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(load(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(load(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op10_lm_scoring)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle_sql()}
