@@ -9,8 +9,12 @@ a step from leaving the region where the root lies. Rates are then rounded to wh
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.llm.words import slices, text_bytes, word_hashes
 from packetloom.session import materialise
@@ -21,10 +25,7 @@ BUCKETS = 4096
 
 def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``size``, the number of words of ``text`` (null: 0)."""
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = dict(docs.dtypes)
+    schema = T.StructType([*[T.StructField(k, docs.schema[k].dataType) for k in keep], T.StructField("size", T.LongType())])
     picked = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("_text"))
 
     def run(batches):
@@ -32,7 +33,7 @@ def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
             _, starts = word_hashes(*text_bytes(piece.column("_text")))
             yield pa.RecordBatch.from_arrays([*[piece.column(k) for k in keep], pa.array(np.diff(starts), pa.int64())], [*keep, "size"])
 
-    return picked.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", size long")
+    return picked.mapInArrow(run, schema)
 
 
 def targets(sizes: DataFrame, share: float, most: int, weights: tuple[int, ...]) -> DataFrame:
@@ -94,8 +95,6 @@ def _group_copies(rates: DataFrame, most: int) -> DataFrame:
     One source's groups are its distinct sizes: at most the square root of twice its words.
     """
     def run(key, group):
-        import pandas as pd
-
         group = group.sort_values("size", ascending=False)
         owed, copies = 0.0, []
         for size, n, rate in zip(group["size"], group["n"], group["rate"]):

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.llm.words import _SPACE, mix, slices, text_bytes, windows, word_hashes
 from packetloom.session import materialise
@@ -147,9 +148,11 @@ def quality_verdicts(
     named = refs.where("lang is not null").select(F.col("lang").alias("_lang"), F.col("reference").alias("_reference"))
     rows = docs.select(*[F.col(f"`{k}`") for k in keep if k != "text"], F.col("lang").alias("_key"), F.col("text").alias("_text"))
     rows = rows.join(named, rows["_key"] == named["_lang"], "left").drop("_key", "_lang")
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
     plain = list(keep)
+    counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    schema = T.StructType([
+        *[T.StructField(k, docs.schema[k].dataType) for k in plain], *[T.StructField(k, T.LongType()) for k in counted],
+        *[T.StructField(k, T.BooleanType()) for k in ("base_failed", "kept")], *[T.StructField(k, T.DoubleType()) for k in ("char_distance", "word_distance")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "_text"):
@@ -167,10 +170,9 @@ def quality_verdicts(
             far = (by_char > char_limit + char_noise / np.sqrt(n)) | (by_word > word_limit + word_noise / np.sqrt(n))
             kept = ~failed & ~(judged & far)
             columns = [piece.column("_text" if k == "text" else k) for k in plain]
-            columns += [pa.array(found[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            columns += [pa.array(found[k], pa.int64()) for k in counted]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(failed), pa.array(kept), pa.array(by_char), pa.array(by_word)],
-                [*plain, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
+                schema.fieldNames())
 
-    return rows.mapInArrow(run, f"{schema}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                                "base_failed boolean, kept boolean, char_distance double, word_distance double")
+    return rows.mapInArrow(run, schema)

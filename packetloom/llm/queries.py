@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.context_tree import lm_scores
+import corpus_pipeline
 from packetloom.llm import licenses
 from packetloom.llm.decontaminate import benchmark_matches
 from packetloom.llm.mixing import mix_sources
@@ -64,4 +65,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc, op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle_sql()}
