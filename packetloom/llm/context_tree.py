@@ -26,8 +26,9 @@ from packetloom.llm.tables import only
 from packetloom.llm.words import slices, text_bytes, word_hashes
 from packetloom.session import materialise
 
-BLOCK_BYTES = 32 << 20
-END = -1  # key of the token that ends every document; a 64-bit word hash is never compared with bytes
+BLOCK_BYTES = 24 << 20
+RUN_BYTES = 1 << 20
+END = -1  # key of the token that ends every document
 EDGE = 0xFF  # never a byte of UTF-8: stands before and after every text
 _CHUNK = 1 << 20
 WORD, GRAM = 0, 1
@@ -68,7 +69,7 @@ def _opened(row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarr
     held = np.array(row["held"], bool)
     a = 0
     while a < len(held):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (4 << 20), "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + RUN_BYTES, "right")) - 1)
         b = min(b, len(held))
         yield slice(a, b), data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], held[a:b]
         a = b
@@ -77,16 +78,16 @@ def _opened(row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarr
 def _grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(gram, row) of every byte and every end, in chunks; a gram is the context and the byte."""
     n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets) + depth + 1)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) + depth + 1)
     stream = np.full(len(data) + n * (depth + 1), EDGE, np.uint8)
-    own = np.repeat(np.arange(n), np.diff(offsets))
-    stream[np.arange(len(data)) + depth + own * (depth + 1)] = data
-    lead = np.zeros(len(stream) + 1, bool)
-    for j in range(depth):
-        lead[offsets[:-1] + np.arange(n) * (depth + 1) + j] = True
+    body = np.ones(len(stream), bool)
+    for j in range(depth + 1):  # the edges before each text and the one after it
+        body[(offsets[1:] if j == depth else offsets[:-1]) + np.arange(n) * (depth + 1) + j] = False
+    stream[body] = data
+    body[offsets[1:] + np.arange(n) * (depth + 1) + depth] = True  # an end is scored, a beginning is not
     for a in range(0, len(stream), _CHUNK):
         b = min(len(stream), a + _CHUNK)
-        at = np.flatnonzero(~lead[a:b]) + a
+        at = np.flatnonzero(body[a:b]) + a
         gram = np.zeros(len(at), np.int64)
         for j in range(depth, -1, -1):
             gram = (gram << 8) | stream[at - j]
