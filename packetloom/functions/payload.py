@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,14 @@ def dns_class(query: Column) -> Column:
     )
 
 
+def payload_text(df: DataFrame, name: str = "payload") -> Column:
+    """A payload column as text; captured bytes become one character each, so that ratios and
+    entropies are over bytes."""
+    if isinstance(df.schema[name].dataType, T.BinaryType):
+        return F.decode(df[name], "ISO-8859-1")
+    return df[name]
+
+
 def printable_ratio(text: Column) -> Column:
     """Share of printable ASCII characters; 0 for empty text."""
     length = F.length(text)

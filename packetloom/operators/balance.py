@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.lookups import small_side
 from packetloom.operators.neighbours import nearest
-from packetloom.operators.sampling import class_sizes
 
 
 def _unit(seed: int, *columns: str) -> Column:
@@ -31,17 +30,18 @@ def _interpolate(wanted: DataFrame, neighbours: DataFrame, vectors: DataFrame, l
 def smote(df: DataFrame, label: str = "label", vector: str = "embedding", row_id: str = "vec_id", k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows that lift every class to the size of the largest.
 
-    ``k`` shrinks to the smallest class; classes of one row get none. Each row of a class receives
-    its even share of copies, the first rows (by id hash) one more.
+    ``row_id`` names a point of one class; rows that share it are copies of the point, searched once
+    and counted for its share of new rows. ``k`` shrinks to the smallest class's points; classes of
+    one point get none. Each row of a class receives its even share of copies, the first points (by
+    id hash) one more.
     """
     return _smote(df, label, vector, row_id, k, seed, None)
 
 
 def _smote(df: DataFrame, label: str, vector: str, row_id: str, k: int, seed: int, per_row: DataFrame | None) -> DataFrame:
-    sizes = class_sizes(df, label)
-    smallest = sizes.agg(F.min("n")).first()[0] or 0
+    base, sizes = _points(df, label, vector, row_id)
+    smallest = sizes.agg(F.min("points")).first()[0] or 0
     k = int(min(k, smallest - 1))
-    base = df.select(row_id, label, vector)
     if k < 1:
         return base.limit(0).select(row_id, F.col(row_id).alias("partner"), F.lit(0).alias("copy"), label, F.col(vector).cast("array<double>").alias(vector))
     largest = F.max("n").over(Window.partitionBy())  # one row per class
@@ -57,35 +57,43 @@ def _smote(df: DataFrame, label: str, vector: str, row_id: str, k: int, seed: in
     return _interpolate(wanted, found, members, label, vector, row_id, seed)
 
 
+def _points(df: DataFrame, label: str, vector: str, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct points with the number of rows at each, and rows and points per class."""
+    points = df.groupBy(row_id, label).agg(F.first(vector).alias(vector), F.count(F.lit(1)).alias("times"))
+    return points, points.groupBy(label).agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("points"))
+
+
 def _spread_evenly(rows: DataFrame, label: str, row_id: str, seed: int) -> DataFrame:
     """Copies per row that add up to the class need: floor of the mean, and one more for the rows
     with the smallest hashes. The extra ones are found by quota, not by ranking the class."""
     from packetloom.operators.sampling import split_by_quota
 
-    quotas = rows.groupBy(label).agg(F.max(F.col("need") % F.col("n")).alias("quota"))
-    split = split_by_quota(rows.select(row_id, label, "need", "n"), label, quotas, seed, [row_id])
-    return split.select(row_id, (F.floor(F.col("need") / F.col("n")) + F.col("chosen").cast("int")).alias("copies"))
+    rows = rows.withColumn("share", F.floor(F.col("need") * F.col("times") / F.col("n")))
+    quotas = rows.groupBy(label).agg((F.max("need") - F.sum("share")).alias("quota"))
+    split = split_by_quota(rows.select(row_id, label, "share"), label, quotas, seed, [row_id])
+    return split.select(row_id, (F.col("share") + F.col("chosen").cast("int")).alias("copies"))
 
 
 def adasyn(df: DataFrame, label: str = "label", vector: str = "embedding", row_id: str = "vec_id", k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows weighted towards rows with many neighbours of other classes.
 
-    Falls back to even spreading when the smallest class is too small.
+    Falls back to even spreading when the smallest class is too small. A class none of whose points
+    has a foreign neighbour gets none. Shared ids are copies of one point, as in ``smote``.
     """
-    sizes = class_sizes(df, label)
-    smallest = sizes.agg(F.min("n")).first()[0] or 0
+    points, sizes = _points(df, label, vector, row_id)
+    smallest = sizes.agg(F.min("points")).first()[0] or 0
     if min(k, smallest - 1) < 1:
         return smote(df, label, vector, row_id, k, seed)
     largest = F.max("n").over(Window.partitionBy())
     needs = sizes.withColumn("need", largest - F.col("n")).where("need > 0")
-    small = df.select(row_id, label, vector).join(small_side(needs.select(label, "need")), label)
-    around = nearest(small.select(row_id, vector), df.select(row_id, vector), k, vector, row_id, exclude_self=True)
-    labels = df.select(F.col(row_id).alias("neighbour_id"), F.col(label).alias("other"))
-    share = around.join(labels, "neighbour_id").join(small.select(F.col(row_id).alias("query_id"), label, "need"), "query_id").groupBy(
-        "query_id", label, "need").agg(F.avg((F.col("other") != F.col(label)).cast("double")).alias("ratio"))
+    small = points.join(small_side(needs.select(label, "need")), label)
+    around = nearest(small.select(row_id, vector), points.select(row_id, vector), k, vector, row_id, exclude_self=True)
+    labels = points.select(F.col(row_id).alias("neighbour_id"), F.col(label).alias("other"))
+    share = around.join(labels, "neighbour_id").join(small.select(F.col(row_id).alias("query_id"), label, "need", "times"), "query_id").groupBy(
+        "query_id", label, "need", "times").agg((F.avg((F.col("other") != F.col(label)).cast("double")) * F.first("times")).alias("ratio"))
     totals = share.groupBy(label).agg(F.sum("ratio").alias("total"))
     per_row = share.join(small_side(totals), label).where("total > 0").select(
-        F.col("query_id").alias(row_id), F.round(F.col("ratio") / F.col("total") * F.col("need")).cast("int").alias("copies"))
+        F.col("query_id").alias(row_id), F.bround(F.col("ratio") / F.col("total") * F.col("need")).cast("int").alias("copies"))
     return _smote(df, label, vector, row_id, k, seed, per_row)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.packets import TCP, is_common_port, tcp_anomaly
-from packetloom.functions.payload import is_shellcode, text_entropy
+from packetloom.functions.payload import is_shellcode, payload_text, text_entropy
 from packetloom.operators.flows import FIVE_TUPLE, ORDER
 from packetloom.operators.rates import flood_alerts
 from packetloom.operators.scans import classify_scans, horizontal_scans, vertical_scans
@@ -17,15 +17,15 @@ from packetloom.operators.timeline import Cuts, cut_points, running
 Detector = Callable[[DataFrame], Column]
 
 
-def _shellcode_text(payload: Column) -> Column:
-    """Shellcode verdict on the raw payload bytes; entropy is taken over the text."""
-    return F.when(is_shellcode(F.encode(payload, "UTF-8"), text_entropy(payload)), "SHELLCODE_DETECTED")
+def _shellcode(df: DataFrame) -> Column:
+    """Shellcode verdict on the raw payload bytes, captured or text; entropy is over the characters."""
+    return F.when(is_shellcode(df["payload"].cast("binary"), text_entropy(payload_text(df))), "SHELLCODE_DETECTED")
 
 
 # name -> Column builder; callers extend it with their own detectors
 ROW_DETECTORS: dict[str, Detector] = {
     "tcp_anomaly": lambda df: tcp_anomaly(df["tcp_flags"], df["tcp_window"], df["proto"] == TCP),
-    "shellcode": lambda df: _shellcode_text(df["payload"]),
+    "shellcode": _shellcode,
 }
 
 

@@ -22,15 +22,25 @@ def payload_bytes(payload: str = "payload") -> Column:
     return F.coalesce(F.octet_length(payload), F.lit(0))
 
 
+def _captured(df: DataFrame, name: str, otherwise: Column) -> Column:
+    """A header field where the capture delivers it."""
+    return F.coalesce(df[name], otherwise) if name in df.columns else otherwise
+
+
 def header_features(packets: DataFrame, cuts: Cuts | None = None) -> DataFrame:
-    """Header fields, running flow timing and payload statistics of every packet."""
-    return running_flow(packets, cuts=cuts).select(
+    """Header fields, running flow timing and payload statistics of every packet.
+
+    Sequence and acknowledgement numbers follow where the capture has them.
+    """
+    flow = running_flow(packets, cuts=cuts)
+    text = B.payload_text(flow)
+    return flow.select(
         "pkt_id", "src_ip", "dst_ip", F.col("length").alias("ip_len"), F.col("ttl").alias("ip_ttl"),
         F.col("proto").alias("ip_proto"), "sport", "dport",
         F.when(P.is_tcp(), F.col("tcp_flags")).alias("tcp_flags"), F.when(P.is_tcp(), F.col("tcp_window")).alias("tcp_window"),
-        F.when(P.is_udp(), F.col("length") - 20).alias("udp_len"), "flow_duration", "packets_per_second",
-        F.length("payload").alias("payload_length"), B.text_entropy(F.col("payload")).alias("entropy"),
-        B.printable_ratio(F.col("payload")).alias("printable_ratio"))
+        F.when(P.is_udp(), _captured(flow, "udp_len", F.col("length") - 20)).alias("udp_len"), "flow_duration", "packets_per_second",
+        F.length("payload").alias("payload_length"), B.text_entropy(text).alias("entropy"), B.printable_ratio(text).alias("printable_ratio"),
+        *[F.when(P.is_tcp(), F.col(c)).alias(c) for c in ("tcp_seq", "tcp_ack") if c in flow.columns])
 
 
 def _features_47(base: DataFrame, entropy: bool) -> DataFrame:
@@ -45,12 +55,13 @@ def _features_47(base: DataFrame, entropy: bool) -> DataFrame:
         _zero_unless(P.is_tcp(), F.col("sport")).alias("tcp_sport"), _zero_unless(P.is_tcp(), F.col("dport")).alias("tcp_dport"),
         _zero_unless(P.is_tcp(), F.col("tcp_window")).alias("tcp_window"), *P.flag_bits(F.col("tcp_flags"), P.is_tcp()),
         _zero_unless(P.is_udp(), F.col("sport")).alias("udp_sport"), _zero_unless(P.is_udp(), F.col("dport")).alias("udp_dport"),
-        _zero_unless(P.is_udp(), F.col("length") - 20).alias("udp_len"),
-        F.lit(0).alias("icmp_type"), F.lit(0).alias("icmp_code"),
+        _zero_unless(P.is_udp(), _captured(base, "udp_len", F.col("length") - 20)).alias("udp_len"),
+        _zero_unless(F.col("proto") == P.ICMP, _captured(base, "icmp_type", F.lit(0))).alias("icmp_type"),
+        _zero_unless(F.col("proto") == P.ICMP, _captured(base, "icmp_code", F.lit(0))).alias("icmp_code"),
         "flow_packet_count", "flow_duration", "packet_rate",
     ]
     if entropy:
-        columns.append(B.byte_entropy(F.encode("payload", "UTF-8")).alias("payload_entropy"))
+        columns.append(B.byte_entropy(F.col("payload").cast("binary")).alias("payload_entropy"))
     return base.withColumns({"_service": service, "_state": state}).select(*columns)
 
 

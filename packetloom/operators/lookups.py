@@ -29,13 +29,42 @@ def dimension(df: DataFrame, key: Column, dim: DataFrame, dim_key: str, value: s
         out, F.coalesce("_dim_value", default)).drop("_dim_key", "_dim_value")
 
 
+def _hextets(text: Column) -> Column:
+    """Sixteen-bit groups of one side of an IPv6 address; a dotted tail is two groups."""
+    tail = F.regexp_extract(text, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    number = ipv4_number(tail)
+    dotted = F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.hex(F.floor(number / 65536).cast("long")), F.lit(":"), F.hex((number % 65536).cast("long")))
+    plain = F.when(tail != "", dotted).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(plain, ":"))
+
+
+def address_bits(ip: Column) -> Column:
+    """``4`` and 32 or ``6`` and 128 binary digits of an address text, whatever its spelling; else null."""
+    low = F.lower(ip)
+    v4 = F.concat(F.lit("4"), F.lpad(F.bin(ipv4_number(ip).cast("long")), 32, "0"))
+    sides = F.split(low, "::")
+    left, right = _hextets(F.get(sides, F.lit(0))), _hextets(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    groups = F.concat(left, F.when(missing > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), right)
+    v6 = F.when(F.size(groups) == 8, F.concat(F.lit("6"), F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")))
+    dotted = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return F.when(dotted, v4).when(low.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*$"), v6)
+
+
+def network_bits(network: Column) -> Column:
+    """The leading binary digits an address of the network has, as in ``address_bits``."""
+    parts = F.split(network, "/")
+    bits = address_bits(parts[0])
+    length = F.coalesce(F.try_element_at(parts, F.lit(2)).cast("int"), F.length(bits) - 1)
+    return F.substring(bits, F.lit(1), length + 1)
+
+
 def _network_test(ip: Column, network: str) -> Column:
     net = ipaddress.ip_network(network)
     if net.version == 4:
         return F.coalesce(ipv4_number(ip).between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
-    if net.prefixlen == 128:
-        return F.lower(ip) == str(net.network_address)
-    raise ValueError("IPv6 ranges go through ip_ranges / network_join")
+    prefix = "6" + format(int(net.network_address), "0128b")[:net.prefixlen]
+    return F.coalesce(F.startswith(address_bits(ip), F.lit(prefix)), F.lit(False))
 
 
 def in_networks(df: DataFrame, outs: dict[str, str], networks: list[str]) -> DataFrame:
@@ -50,16 +79,30 @@ def in_networks(df: DataFrame, outs: dict[str, str], networks: list[str]) -> Dat
 
 
 def network_join(df: DataFrame, ip: str, networks: DataFrame) -> DataFrame:
-    """Rows whose IPv4 address lies in one of many networks ``(lo, hi, network)``.
+    """Rows whose address lies in one of many networks, with the network's columns.
 
-    Each range is listed under the /8 blocks it covers (at most 256), which turns containment
-    into an equi-join on the block plus a range test.
+    ``networks`` holds either ``network`` texts such as ``10.0.0.0/8`` or ``2001:db8::/32`` alone, or
+    IPv4 ranges ``(lo, hi, network)``. A range is the union of at most 62 aligned blocks. Addresses meet
+    blocks by equality of their leading bits, once for each of the few prefix lengths in use (33 for
+    IPv4 and 129 for IPv6 at most), so no large block gathers all rows.
     """
-    block = F.lit(1 << 24)
-    listed = networks.select("*", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("_block"))
-    numbered = df.withColumn("_ip", ipv4_number(F.col(ip))).withColumn("_block", F.floor(F.col("_ip") / block))
-    joined = numbered.join(small_side(listed), "_block")
-    return joined.where(F.col("_ip").between(F.col("lo"), F.col("hi"))).drop("_ip", "_block", "lo", "hi")
+    if "lo" in networks.columns:
+        level = networks.select("*", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_k"))
+        size, above = F.pow(F.lit(2.0), F.col("_k")), F.pow(F.lit(2.0), F.col("_k") + 1)
+        first, last = F.ceil(F.col("lo") / size), F.floor((F.col("hi") + 1) / size) - 1
+        outer_first, outer_last = F.ceil(F.col("lo") / above), F.floor((F.col("hi") + 1) / above) - 1
+        level = level.select("*", outer_first.alias("_of"), outer_last.alias("_ol"), F.explode(F.when(
+            first <= last, F.array_distinct(F.array(first, last))).otherwise(F.array().cast("array<bigint>"))).alias("_b"))
+        up = F.floor(F.col("_b") / 2)
+        level = level.where(~((up >= F.col("_of")) & (up <= F.col("_ol"))))
+        bits = F.substring(F.concat(F.lit("4"), F.lpad(F.bin((F.col("_b") * F.pow(F.lit(2.0), F.col("_k"))).cast("long")), 32, "0")), F.lit(1), 33 - F.col("_k"))
+        listed = level.select(*[c for c in networks.columns if c not in ("lo", "hi")], bits.alias("_prefix"))
+    else:
+        listed = networks.withColumn("_prefix", network_bits(F.col("network"))).where("_prefix is not null")
+    lengths = [r[0] for r in listed.select(F.struct(F.substring("_prefix", 1, 1), F.length("_prefix"))).distinct().collect()]
+    cuts = F.array_compact(F.array(*[F.when(F.startswith("_bits", F.lit(v)), F.substring("_bits", 1, n)) for v, n in sorted(map(tuple, lengths))]))
+    keyed = df.withColumn("_bits", address_bits(F.col(ip))).select("*", F.explode(cuts).alias("_prefix"))
+    return keyed.join(listed, "_prefix").drop("_bits", "_prefix")
 
 
 def drop_decided(packets: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -154,4 +154,4 @@ def knn_classify(
     else:
         weight = F.lit(1.0)
     tally = votes.withColumn("w", weight).groupBy("query_id", "vote").agg(F.sum("w").alias("w"))
-    return tally.groupBy("query_id").agg(F.max_by("vote", F.struct("w", -F.col("vote"))).alias("predicted")).withColumnRenamed("query_id", row_id)
+    return tally.groupBy("query_id").agg(F.min_by("vote", F.struct(-F.col("w"), "vote")).alias("predicted")).withColumnRenamed("query_id", row_id)

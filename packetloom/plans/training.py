@@ -131,7 +131,7 @@ def resample(train: DataFrame, features: list[str], method: str | None, row_id:
         return train
     if method == "duplicate":
         return balance.duplicate_minorities(train, "label")
-    vectors = train.select(F.xxhash64(*row_id).alias("_id"), "label", F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    vectors = train.select(F.xxhash64("label", *row_id).alias("_id"), "label", F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
     make = balance.smote if method == "smote" else balance.adasyn
     made = make(vectors, "label", "_v", "_id").select("label", *[F.col("_v")[i].alias(c) for i, c in enumerate(features)])
     return train.select("label", *[F.col(c).cast("double").alias(c) for c in features]).unionByName(made)

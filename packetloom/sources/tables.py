@@ -61,33 +61,74 @@ def _paths(spark: SparkSession, pattern: str) -> list[str]:
         return []
 
 
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The numeric type that holds both, None where only text does."""
+    order = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    if type(a) in order and type(b) in order:
+        return max(a, b, key=lambda t: order.index(type(t)))
+    small = {T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType}
+    return T.DoubleType() if {type(a), type(b)} <= small else None
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
-    """Union by name, absent columns null. A column that is text in some parts and typed in others
-    takes the type; values that do not fit become null."""
+    """Union by name, absent columns null, no value lost.
+
+    Numeric types widen. A column that is text in some parts and typed in others takes the type only
+    if every text reads as it (one aggregate per part with such columns); else it becomes text.
+    """
     types: dict[str, T.DataType] = {}
+    texts: dict[str, T.DataType] = {}  # columns that some part holds as text
     for part in parts:
         for f in part.schema.fields:
-            if f.name not in types or isinstance(types[f.name], T.StringType):
+            if isinstance(f.dataType, T.StringType):
+                texts[f.name] = f.dataType
+            elif f.name not in types or types[f.name] == f.dataType:
                 types[f.name] = f.dataType
+            else:
+                types[f.name] = _wider(types[f.name], f.dataType) or T.StringType()
+    for name in texts.keys() - types.keys():
+        types[name] = T.StringType()
+    for part in parts:
+        mixed = [f.name for f in part.schema.fields if isinstance(f.dataType, T.StringType) and not isinstance(types[f.name], T.StringType)]
+        if mixed:
+            misfits = part.agg(*[F.count(F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(types[c]).isNull(), 1)).alias(c) for c in mixed]).first()
+            types.update({c: T.StringType() for c in mixed if misfits[c]})
     out = None
     for part in parts:
         cast = part.select(*[
-            F.col(f.name).try_cast(types[f.name]).alias(f.name) if f.dataType != types[f.name] else F.col(f.name) for f in part.schema.fields])
+            F.col(f"`{f.name}`").cast(types[f.name]).alias(f.name) if f.dataType != types[f.name] else F.col(f"`{f.name}`") for f in part.schema.fields])
         out = cast if out is None else out.unionByName(cast, allowMissingColumns=True)
     return out
 
 
+def probe_csv(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, header, encoding) of every CSV file, in one distributed pass over the text.
+
+    The header is the first line of the file's first split; a file with a line that does not decode as
+    UTF-8 is latin1. Files of one folder may differ.
+    """
+    lines = spark.read.text(pattern).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.groupBy("path").agg(
+        F.min_by("value", F.when(F.col("block") == 0, F.col("line"))).alias("header"),
+        F.when(F.max(~F.is_valid_utf8("value")), "ISO-8859-1").otherwise("UTF-8").alias("encoding"))
+
+
 def read_directory(spark: SparkSession, folder: str, encoding: str | None = None, same_header: bool = False) -> DataFrame:
     """All ``*.csv`` and ``*.parquet`` of a folder as one table.
 
-    CSV files are grouped by header, one scan per distinct header; Parquet files are one scan.
-    The probes of header (per file) and encoding (a pass over the text) can be skipped by telling.
+    CSV files are grouped by header and encoding, one scan per distinct pair; Parquet files are one
+    scan. Telling both spares the probing pass. Files without a line hold no rows.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in _paths(spark, f"{folder}/*.csv"):
-        header = () if same_header else tuple(spark.read.option("header", True).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
-    parts = [read_csv(spark, paths, encoding or csv_encoding(spark, paths)) for paths in by_header.values()]
+    parts = []
+    if encoding and same_header:
+        if _paths(spark, f"{folder}/*.csv"):
+            parts.append(read_csv(spark, f"{folder}/*.csv", encoding))
+    elif _paths(spark, f"{folder}/*.csv"):
+        groups: dict[tuple[str, str], list[str]] = {}
+        for r in probe_csv(spark, f"{folder}/*.csv").collect():  # one row per file, as the file listing itself
+            groups.setdefault(("" if same_header else r["header"] or "", encoding or r["encoding"]), []).append(r["path"])
+        parts += [read_csv(spark, sorted(paths), kind) for (_, kind), paths in sorted(groups.items())]
     if _paths(spark, f"{folder}/*.parquet"):
         parts.append(read_parquet(spark, f"{folder}/*.parquet"))
     if not parts:
@@ -95,6 +136,11 @@ def read_directory(spark: SparkSession, folder: str, encoding: str | None = None
     return union_all(parts)
 
 
+def unreadable_parquet(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path) of the files whose first bytes are not Parquet's, which the readers above skip."""
+    return spark.read.format("binaryFile").load(pattern).where(F.substring("content", 1, 4) != F.lit(b"PAR1")).select("path")
+
+
 def capture_filter(packets: DataFrame, *filters: str) -> DataFrame:
     """Packets that pass every capture filter; other texts are taken as SQL predicates."""
     for text in filters:

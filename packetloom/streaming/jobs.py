@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from packetloom.functions.packets import protocol_name
 from packetloom.functions.verdicts import load_band, severity_bucket
@@ -59,13 +60,14 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
         "append").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], continuous: bool = False) -> None:
-    """``foreachBatch`` over what has landed, or in micro-batches until stopped."""
+def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], continuous: bool = False) -> StreamingQuery:
+    """``foreachBatch`` over what has landed, or in micro-batches until the returned query is stopped."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": MICRO_BATCH} if continuous else {"availableNow": True}
     query = writer.trigger(**trigger).start()
     if not continuous:
         query.awaitTermination()
+    return query
 
 
 def batch_table(df: DataFrame, path: str, batch_id: int) -> None:

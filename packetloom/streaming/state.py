@@ -31,6 +31,18 @@ def _expire(state: GroupState, at_s: float) -> None:
     state.setTimeoutTimestamp(int(max(at_s * 1000, state.getCurrentWatermarkMs() + 1)))
 
 
+def _parts(ts: np.ndarray, last: float, idle: float) -> list[tuple[int, int, bool]]:
+    """Runs of ordered times with no pause longer than ``idle``: (begin, end, starts afresh).
+
+    A pause ends the state whether or not a time-out fired in between, so results do not depend on
+    where a micro-batch ends; the time-out only frees memory.
+    """
+    before = np.concatenate([[last], ts[:-1]])
+    fresh = ~(ts - before <= idle)  # nan: nothing came before
+    begins = np.unique(np.concatenate([[0], np.flatnonzero(fresh)]))
+    return [(int(a), int(b), bool(fresh[a])) for a, b in zip(begins, [*begins[1:], len(ts)])]
+
+
 def scan_state_stream(packets: DataFrame, idle: float = 60.0) -> DataFrame:
     """Running distinct ports and targets per source since it was last idle longer than ``idle``."""
     def step(key, frames, state: GroupState):
@@ -61,7 +73,10 @@ def scan_state_stream(packets: DataFrame, idle: float = 60.0) -> DataFrame:
 
 
 def running_flow_stream(packets: DataFrame, keys: list[str] = FIVE_TUPLE, limit: float = 60.0, idle: float = 300.0) -> DataFrame:
-    """Running flow counts, duration and inter-arrival time, and the counts with the restart."""
+    """Running flow counts, duration and inter-arrival time, and the counts with the restart.
+
+    A flow that pauses longer than ``idle`` seconds starts anew.
+    """
     key_types = ", ".join(f"{k} {packets.schema[k].dataType.simpleString()}" for k in keys)
     restart = reset_step(limit)
 
@@ -71,18 +86,24 @@ def running_flow_stream(packets: DataFrame, keys: list[str] = FIVE_TUPLE, limit:
             return
         pdf = _in_order(frames, ["ts_s", "pkt_id"])
         ts = pdf["ts_s"].to_numpy(dtype=float)
-        n, size, first, last, carried = state.get if state.exists else (0, 0, float(ts[0]), np.nan, [])
-        counts, segment = restart(ts, np.asarray(carried, dtype=float))
-        out = pdf.assign(**dict(zip(keys, key)))
-        out["flow_packets"] = n + np.arange(1, len(ts) + 1)
-        out["flow_bytes"] = size + pdf["length"].to_numpy(dtype=np.int64).cumsum()
-        out["flow_duration"] = ts - first
-        out["iat"] = np.diff(ts, prepend=last)
-        out["segment_packets"] = counts["flow_packet_count"]
-        out["segment_duration"] = ts - counts["segment_start"]
-        state.update((int(out["flow_packets"].iloc[-1]), int(out["flow_bytes"].iloc[-1]), float(first), float(ts[-1]), segment.tolist()))
-        _expire(state, ts[-1] + idle)
-        yield out[["pkt_id", "ts_s", *keys, "flow_packets", "flow_bytes", "flow_duration", "iat", "segment_packets", "segment_duration"]]
+        n, size, first, last, carried = state.get if state.exists else (0, 0, np.nan, np.nan, [])
+        parts = []
+        for begin, end, fresh in _parts(ts, last, idle):
+            if fresh:
+                n, size, first, last, carried = 0, 0, float(ts[begin]), np.nan, []
+            at, out = ts[begin:end], pdf.iloc[begin:end].assign(**dict(zip(keys, key)))
+            counts, segment = restart(at, np.asarray(carried, dtype=float))
+            out["flow_packets"] = n + np.arange(1, len(at) + 1)
+            out["flow_bytes"] = size + out["length"].to_numpy(dtype=np.int64).cumsum()
+            out["flow_duration"] = at - first
+            out["iat"] = np.diff(at, prepend=last)
+            out["segment_packets"] = counts["flow_packet_count"]
+            out["segment_duration"] = at - counts["segment_start"]
+            n, size, last, carried = int(out["flow_packets"].iloc[-1]), int(out["flow_bytes"].iloc[-1]), float(at[-1]), segment.tolist()
+            parts.append(out)
+        state.update((n, size, float(first), last, carried))
+        _expire(state, last + idle)
+        yield pd.concat(parts)[["pkt_id", "ts_s", *keys, "flow_packets", "flow_bytes", "flow_duration", "iat", "segment_packets", "segment_duration"]]
 
     return packets.select("pkt_id", "ts_s", *keys, "length", "ts").groupBy(*keys).applyInPandasWithState(
         step, f"pkt_id long, ts_s double, {key_types}, flow_packets long, flow_bytes long, flow_duration double, iat double, "
@@ -119,16 +140,18 @@ def decision_stream(packets: DataFrame, keep: float = 3600.0) -> DataFrame:
             state.remove()
             return
         pdf = _in_order(frames, ["ts_s", "pkt_id"])
+        ts = pdf["ts_s"].to_numpy(dtype=float)
         decision = np.full(len(pdf), "cached_benign", dtype=object)
-        if not state.exists:
-            decision[0] = "common_port"
-        state.update((True,))
-        _expire(state, float(pdf["ts_s"].iloc[-1]) + keep)
+        for begin, _, fresh in _parts(ts, state.get[0] if state.exists else np.nan, keep):
+            if fresh:
+                decision[begin] = "common_port"
+        state.update((float(ts[-1]),))
+        _expire(state, float(ts[-1]) + keep)
         yield pdf.assign(**dict(zip(FIVE_TUPLE, key)), decision=decision)[["pkt_id", *FIVE_TUPLE, "decision"]]
 
     fast = packets.where(is_common_port(F.col("sport")) | is_common_port(F.col("dport")))
     return fast.select("pkt_id", "ts_s", *FIVE_TUPLE, "ts").groupBy(*FIVE_TUPLE).applyInPandasWithState(
-        step, f"pkt_id long, {key_types}, decision string", "benign boolean", "append", EVENT_TIME)
+        step, f"pkt_id long, {key_types}, decision string", "last double", "append", EVENT_TIME)
 
 
 def alert_candidates_stream(packets: DataFrame, alerts: DataFrame, window: float = 30.0) -> DataFrame:
