@@ -44,6 +44,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"
 SPLIT = re.compile(r"[^a-z]+")
 SAME_PAGES = 5  # a text seen on so many pages of a host, and on no page another in its place, is template
 DEEPER = 0.6
+DEEPEST = 120  # elements nested deeper add their texts to the one at this depth
 
 
 @lru_cache(10_000)
@@ -149,6 +150,8 @@ def parse(page: str) -> list:
             if "header" in label and "article" not in names and "main" not in names:
                 dropped = dropped or "header" in SPLIT.split(label)
             node = [label, dropped, []]
+            if len(stack) >= DEEPEST:
+                continue
             stack[-1][2].append(node)
             stack.append(node)
             names.append("main" if label.startswith("main") else name)
