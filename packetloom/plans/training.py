@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable
@@ -87,13 +88,16 @@ def draw_params(name: str, n: int, seed: int = 42) -> list[dict]:
 
 
 def random_search(name: str, train: DataFrame, classes: int, row_id: list[str], n_iter: int = 5, folds: int = 3, seed: int = 42,
-                  parallelism: int = 2, space: list[dict] | None = None, **fixed) -> tuple[dict, float]:
-    """Best parameters by cross-validated macro F1; large tables are tuned on a stratified subset."""
+                  parallelism: int = 2, space: list[dict] | None = None, tuning_rows: int = TUNING_ROWS, **fixed) -> tuple[dict, float]:
+    """Best parameters by cross-validated macro F1.
+
+    Parameters are tuned on at most ``tuning_rows`` labelled rows, a stratified sample of larger
+    tables; the chosen model is fitted on all rows.
+    """
     rows = train.count()
-    if rows > TUNING_ROWS:
-        n_iter = min(n_iter, 10)
+    if rows > tuning_rows:
         train = sampling.split_by_quota(train, "label", sampling.class_sizes(train, "label").select(
-            "label", F.greatest(F.lit(1), F.round(F.col("n") * (TUNING_ROWS / rows))).cast("bigint").alias("quota")), seed, row_id).where("chosen").drop("chosen")
+            "label", F.greatest(F.lit(1), F.round(F.col("n") * (tuning_rows / rows))).cast("bigint").alias("quota")), seed, row_id).where("chosen").drop("chosen")
     folded = train.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *row_id), F.lit(folds)).cast("int"))
     model = estimator(name, classes, rows, **fixed)
     draws = space or draw_params(name, n_iter, seed)
@@ -138,8 +142,12 @@ def resample(train: DataFrame, features: list[str], method: str | None, row_id:
 
 
 def train_model(name: str, train: DataFrame, test: DataFrame, features: list[str], row_id: list[str], sampling_method: str | None = None,
-                tune: bool = False, n_iter: int = 5, folds: int = 3, weighted: bool = False, **params) -> Trained | None:
-    """Resample, tune, fit, evaluate. A failed fit is retried with a small model, then skipped."""
+                tune: bool = False, n_iter: int = 5, folds: int = 3, weighted: bool = False, failures: list[dict] | None = None, **params) -> Trained | None:
+    """Resample, tune, fit, evaluate. A failed fit is retried with a small model, then given up.
+
+    The metrics name the parameters of the model that was fitted and the error of a first attempt;
+    a model that was given up is appended to ``failures`` with its error.
+    """
     began = time.time()
     counts = {r["label"]: r["n"] for r in sampling.class_sizes(train, "label").collect()}
     rows = sum(counts.values())
@@ -160,13 +168,18 @@ def train_model(name: str, train: DataFrame, test: DataFrame, features: list[str
         # early stopping watches a fifth of the training rows
         vectors = vectors.withColumn("_validation", F.pmod(F.xxhash64(*features), F.lit(5)) == 0)
         validation = "_validation"
+    error = ""
     try:
         model = estimator(name, len(counts), rows, weight, validation, **params).fit(vectors)
-    except Exception:  # the model, not the job, is given up
+    except Exception as e:  # the model, not the job, is given up
+        error = f"{type(e).__name__}: {str(e)[:500]}"
         small = {"random_forest": {"numTrees": 5, "maxDepth": 5}, "decision_tree": {"maxDepth": 5}}.get(name, {"maxIter": 5})
         try:
             model = estimator(name, len(counts), rows, weight, validation, **small).fit(vectors)
+            params = small
         except Exception:
+            if failures is not None:
+                failures.append({"model_name": name, "error": error})
             return None
     pipeline = PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), model])
     majority = max(counts, key=lambda c: (counts[c], -c))
@@ -174,7 +187,7 @@ def train_model(name: str, train: DataFrame, test: DataFrame, features: list[str
     known = F.col("prediction").isin(list(counts))  # classes are a handful of codes
     scored = predicted.select("label", F.when(known, F.col("prediction")).otherwise(majority).alias("prediction"))
     metrics = evaluate.macro_metrics(scored, "label", "prediction").first().asDict()
-    return Trained(name, pipeline, {"model_name": name, **metrics, "training_time": time.time() - began}, params, features)
+    return Trained(name, pipeline, {"model_name": name, **metrics, "training_time": time.time() - began, "fitted_with": json.dumps(params, sort_keys=True), "error": error}, params, features)
 
 
 def train_knn(train: DataFrame, test: DataFrame, features: list[str], row_id: str, k: int = 5, weights: str = "uniform", metric: str = "euclidean") -> dict:
@@ -198,17 +211,22 @@ def search_knn(train: DataFrame, features: list[str], row_id: str, n_iter: int =
 
 
 def train_all(names: list[str], train: DataFrame, test: DataFrame, features: list[str], row_id: list[str], path: str | None = None, **options) -> DataFrame:
-    """Train every named model; models and metrics go to ``path``; returns the leaderboard."""
-    results = []
+    """Train every named model; models and metrics go to ``path``; returns the leaderboard.
+
+    A model that could not be fitted stands there with its error and no score.
+    """
+    results, failures = [], []
     for name in names:
-        trained = train_model(name, train, test, features, row_id, **options)
+        trained = train_model(name, train, test, features, row_id, failures=failures, **options)
         if trained is None:
             continue
         if path:
             sinks.save_model(trained.model, f"{path}/{name}", {"metrics": trained.metrics, "parameters": trained.params, "feature_names": features})
             sinks.append_leaderboard(trained.metrics, f"{path}/leaderboard")
         results.append(trained.metrics)
-    return evaluate.leaderboard(train.sparkSession.createDataFrame(results))
+    schema = "model_name string, accuracy double, precision double, recall double, f1_score double, training_time double, fitted_with string, error string"
+    rows = [tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in results + failures]
+    return evaluate.leaderboard(train.sparkSession.createDataFrame(rows, schema))
 
 
 def feature_importance(model: PipelineModel | Model, features: list[str], top: int = 20) -> DataFrame:

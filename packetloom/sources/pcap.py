@@ -19,6 +19,8 @@ BATCH = 50_000
 # File magic -> (byte order, seconds per fraction unit).
 MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
 
+NEXT_GENERATION = b"\x0a\x0d\x0d\x0a"
+
 
 def _transport(proto: int, data: bytes) -> dict:
     if proto == 6 and len(data) >= 20:
@@ -58,21 +60,59 @@ def _link_payload(link: int, frame: bytes) -> bytes:
     return frame[4:] if link == 0 else frame
 
 
-def _records(name: str, content: bytes) -> Iterator[dict]:
+def _frames(content: bytes) -> Iterator[tuple[float, int, int, bytes]]:
+    """(time, original length, link type, frame) of a classic or next-generation capture."""
+    if content[:4] == NEXT_GENERATION:
+        yield from _next_generation(content)
+        return
     if content[:4] not in MAGICS or len(content) < 24:
         return
     order, unit = MAGICS[content[:4]]
     link = struct.unpack(order + "I", content[20:24])[0] & 0x0FFFFFFF
-    at, number = 24, 0
+    at = 24
     while at + 16 <= len(content):
         seconds, fraction, kept, length = struct.unpack(order + "IIII", content[at:at + 16])
         frame = content[at + 16:at + 16 + kept]
         if len(frame) < kept:  # cut-off last record
             return
         at += 16 + kept
-        fields = {"sport": 0, "dport": 0, "tcp_flags": 0, "tcp_window": 0, "ip_version": 0, "payload": b""}
-        yield {**fields, "file": name, "pkt_id": number, "ts_s": seconds + fraction * unit, "length": length, **_network(_link_payload(link, frame))}
-        number += 1
+        yield seconds + fraction * unit, length, link, frame
+
+
+def _next_generation(content: bytes) -> Iterator[tuple[float, int, int, bytes]]:
+    """Packets of the sections of a pcapng file: enhanced packet blocks; simple ones carry no time."""
+    at, order, links = 0, "<", []
+    while at + 12 <= len(content):
+        if content[at:at + 4] == NEXT_GENERATION:
+            order, links = ("<" if content[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
+        kind, size = struct.unpack(order + "II", content[at:at + 8])
+        body = content[at + 8:at + size - 4]
+        if size < 12 or at + size > len(content):  # cut-off last block
+            return
+        at += size
+        if kind == 1:  # interface: link type, and how fine its clock is
+            unit, option = 1e-6, 8
+            while option + 4 <= len(body):
+                code, length = struct.unpack(order + "HH", body[option:option + 4])
+                if code == 9 and length == 1:
+                    power = body[option + 4]
+                    unit = 2.0 ** -(power & 127) if power & 128 else 10.0 ** -power
+                option += 4 + -(-length // 4) * 4
+                if code == 0:
+                    break
+            links.append((struct.unpack(order + "H", body[:2])[0], unit))
+        elif kind == 6 and len(body) >= 20:
+            which, high, low, kept, length = struct.unpack(order + "IIIII", body[:20])
+            if which < len(links):
+                yield ((high << 32) + low) * links[which][1], length, links[which][0], body[20:20 + kept]
+        elif kind == 3 and links:
+            yield 0.0, struct.unpack(order + "I", body[:4])[0], links[0][0], body[4:]
+
+
+def _records(name: str, content: bytes) -> Iterator[dict]:
+    fields = {"sport": 0, "dport": 0, "tcp_flags": 0, "tcp_window": 0, "ip_version": 0, "payload": b""}
+    for number, (ts, length, link, frame) in enumerate(_frames(content)):
+        yield {**fields, "file": name, "pkt_id": number, "ts_s": ts, "length": length, **_network(_link_payload(link, frame))}
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +135,13 @@ def read_pcaps(spark: SparkSession, folder: str, pattern: str = "*.pcap") -> Dat
     return files.mapInPandas(_expand, PACKET_SCHEMA)
 
 
+def skipped_captures(spark: SparkSession, folder: str, pattern: str = "*.pcap*") -> DataFrame:
+    """(path, length) of the files that ``read_pcaps`` cannot read, by their first bytes."""
+    known = [F.lit(m) for m in [*MAGICS, NEXT_GENERATION]]
+    files = spark.read.format("binaryFile").load(f"{folder}/{pattern}")
+    return files.where(~F.coalesce(F.substring("content", 1, 4).isin(*known), F.lit(False))).select("path", "length")
+
+
 def labelled_pcaps(spark: SparkSession, folder: str) -> DataFrame:
     """IP packets of the captures, labelled with the file name up to its first underscore."""
     packets = read_pcaps(spark, folder).where("ip_version IN (4, 6)")

@@ -88,6 +88,29 @@ def test_captured_bytes_reach_features_and_detectors(spark, tmp_path):
     packets.unpersist()
 
 
+def next_generation(frames):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack("<II", kind, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+
+    out = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 0))
+    for i, f in enumerate(frames):
+        at = (100 + i) * 1_000_000 + 250_000
+        out += block(6, struct.pack("<IIIII", 0, at >> 32, at & 0xFFFFFFFF, len(f), len(f)) + f)
+    return out
+
+
+def test_next_generation_captures_equal_classic_ones(spark, tmp_path):
+    frames = [frame(17, struct.pack("!HHHH", 53, 5353, 11, 0) + b"abc"), frame(1, bytes([8, 1, 0, 0, 0, 0, 0, 0]))]
+    (tmp_path / "a.pcap").write_bytes(capture(frames))
+    (tmp_path / "b.pcapng").write_bytes(next_generation(frames))
+    (tmp_path / "c.pcap").write_bytes(b"no capture at all")
+    rows = [r.asDict() for r in pcap.read_pcaps(spark, str(tmp_path), "*.pcap*").orderBy("file", "pkt_id").collect()]
+    assert len(rows) == 4
+    assert [{**r, "file": ""} for r in rows[:2]] == [{**r, "file": ""} for r in rows[2:]]
+    assert [r["path"].rsplit("/")[-1] for r in pcap.skipped_captures(spark, str(tmp_path)).collect()] == ["c.pcap"]
+
+
 @pytest.mark.parametrize("method", ["smote", "adasyn"])
 def test_oversampling_counts_repeated_rows_once(spark, method):
     rows = [(0, float(i % 5), 1.0) for i in range(60)] + [(1, float(i % 5), 1.5) for i in range(20)]
