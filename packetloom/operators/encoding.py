@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def encode_label(df: DataFrame, label: str, codes: DataFrame | None = None) -> D
 
 
 def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Distinct values per column. They become column names, so their number is bounded."""
+    """Distinct values per column. They become column names, so their number is bounded; wider
+    vocabularies go through ``one_hot_vectors``."""
     found = {}
     for c in columns:
         rows = df.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct().limit(MAX_CATEGORIES + 1).collect()
@@ -37,6 +40,16 @@ def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     return found
 
 
+def one_hot_vectors(df: DataFrame, columns: list[str], suffix: str = "_vector") -> DataFrame:
+    """Add a sparse 0/1 vector per column, for vocabularies too wide for one column per value.
+
+    Values are indexed by falling frequency; null and unseen values share the last place.
+    """
+    indexer = StringIndexer(inputCols=columns, outputCols=[f"_{c}_index" for c in columns], handleInvalid="keep")
+    encoder = OneHotEncoder(inputCols=indexer.getOutputCols(), outputCols=[c + suffix for c in columns], dropLast=False)
+    return Pipeline(stages=[indexer, encoder]).fit(df).transform(df).drop(*indexer.getOutputCols())
+
+
 def one_hot_all(df: DataFrame, label: str = "label", values: dict[str, list[str]] | None = None) -> DataFrame:
     """Every string column but the label as 0/1 columns ``column_value``."""
     columns = [c for c, t in df.dtypes if t == "string" and c != label]

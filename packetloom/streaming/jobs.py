@@ -54,10 +54,17 @@ def score_stream(features: DataFrame, scorer: Callable[[DataFrame], DataFrame])
     return scorer(features)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has landed, append it to a table exactly once, and stop."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
+        "append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for the watermark, over the progress Spark still holds of a query."""
+    return sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators)
 
 
 def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], continuous: bool = False) -> StreamingQuery:

@@ -11,10 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_sources import capture, frame
 
-from packetloom.operators import balance, detect, features, lookups, neighbours
+from packetloom.operators import balance, detect, encoding, features, lookups, neighbours
 from packetloom.plans.training import resample
 from packetloom.sources import pcap, tables
-from packetloom.streaming.jobs import run_available, run_batches
+from packetloom.streaming.jobs import late_rows, run_available, run_batches, throughput_stream
 from packetloom.streaming.replay import replay
 from packetloom.streaming.sources import packet_stream
 from packetloom.streaming.state import decision_stream, running_flow_stream
@@ -164,3 +164,21 @@ def test_a_continuous_run_can_be_stopped(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == 1 and not query.isActive
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    folder, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [(i, float(t), "a", "b", 1, 80, 6, 10) for i, t in enumerate([0, 10, 5_000, 90_000])]
+    spark.createDataFrame(rows, FLOWS).coalesce(1).write.mode("append").parquet(folder)
+    schema, no = spark.createDataFrame(rows, FLOWS).schema, F.lit(False)
+    stream = lambda: throughput_stream(packet_stream(spark, folder, schema, origin=86_400.0), no, no)
+    assert late_rows(run_available(stream(), out, ck)) == 0
+    spark.createDataFrame([(9, 1.0, "a", "b", 1, 80, 6, 10)], FLOWS).coalesce(1).write.mode("append").parquet(folder)
+    assert late_rows(run_available(stream(), out, ck)) == 1
+
+
+def test_wide_vocabularies_become_vectors(spark):
+    df = spark.createDataFrame([(i, f"v{i % 50}" if i % 7 else None) for i in range(200)], "id long, service string")
+    rows = encoding.one_hot_vectors(df, ["service"]).collect()
+    assert all(r["service_vector"].size == 51 and r["service_vector"].values.tolist() == [1.0] for r in rows)
+    assert {int(r["service_vector"].indices[0]) for r in rows if r["service"] is None} == {50}
