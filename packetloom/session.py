@@ -5,10 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# paths of the tables written below the innermost ``settled`` call
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def build_session(app: str = "packetloom", master: str | None = None, **conf) -> SparkSession:
@@ -47,8 +54,43 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a finished write are of no use: let Spark remove them when it ends."""
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: survives executor loss."""
-    path = run_folder(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = run_folder(spark, name)
+    with _shuffles_dropped(spark):
+        df.write.mode("errorifexists").parquet(path)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialise what ``build`` returns, then delete the tables it wrote on the way.
+
+    Only for results that are the one thing still read from ``build``'s work: its tables are gone.
+    """
+    steps: list[str] = []
+    token = _written.set(steps)
+    try:
+        result = build()
+    finally:
+        _written.reset(token)
+    table = materialise(result, name)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in steps:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return table
