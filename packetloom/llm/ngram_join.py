@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from packetloom.llm.components import components
 from packetloom.llm.tables import only
 from packetloom.llm.words import mix, shingle_sets, slices
-from packetloom.session import materialise
+from packetloom.session import materialise, settled
 
 _SALT = np.uint64(0xA24BAED4963EE407)
 SKETCH = 8
@@ -174,8 +174,7 @@ def _buckets(texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         .where("probed and lo < hi").select("key", "h1", "probe", "members"), "jaccard-shared")
     places = shared.groupBy("h1").agg(F.sum("members").alias("places"))
     ranked = F.when(F.col("probe"), F.struct("places", "h1"))
-    return materialise(shared.join(places, "h1").select(
-        "key", "h1", "probe", F.max(ranked).over(by_key)["h1"].alias("hub")), "jaccard-buckets")
+    return shared.join(places, "h1").select("key", "h1", "probe", F.max(ranked).over(by_key)["h1"].alias("hub"))
 
 
 def _possible(num: int, den: int) -> str:
@@ -190,6 +189,7 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int,
     needed = materialise(classes.select("h1", "h2", "rep", "n").join(wanted, "h1", "left_semi"), "jaccard-needed")
     # sorted and merged at every size: which texts are needed grows with the corpus
     picked = texts.join(needed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    picked = materialise(picked, "jaccard-picked")  # frees the shuffled texts before their sets are dealt
     sets = materialise(
         _sets(picked, shingle).dropDuplicates(["h1", "h2"]).join(needed, ["h1", "h2"]).select("h1", "rep", "n", "items"), "jaccard-sets")
     left = sets.select(F.col("h1").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
@@ -214,21 +214,22 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-classes")
     briefs = classes.groupBy("h1").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"))
 
-    buckets = _buckets(texts.where("doc_id is not null"), shingle, num, den)
+    spark = docs.sparkSession
+    buckets = settled(spark, lambda: _buckets(texts.where("doc_id is not null"), shingle, num, den), "jaccard-buckets")
     left = briefs.select(F.col("h1").alias("x"), F.col("n").alias("l_n"), F.col("cells").alias("l_cells"))
     right = briefs.select(F.col("h1").alias("y"), F.col("n").alias("r_n"), F.col("cells").alias("r_cells"))
     stars = buckets.where("h1 <> hub").select(F.col("hub").alias("x"), F.col("h1").alias("y")).distinct()
     stars = materialise(stars.join(right, "y").join(left, "x").where(_possible(num, den)).select("x", "y"), "jaccard-stars")
-    links = materialise(_links(stars, texts, classes, shingle, num, den), "jaccard-links")
+    links = settled(spark, lambda: _links(stars, texts, classes, shingle, num, den), "jaccard-links")
     twice = classes.join(live.select("doc_id", "h1", "h2"), ["h1", "h2"]).groupBy("doc_id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = links.union(materialise(twice, "jaccard-twice"))
-    roots = components(links, "jaccard-stars-joined")
+    roots = settled(spark, lambda: components(links, "jaccard-stars-joined"), "jaccard-roots")
 
-    more = materialise(_open_pairs(buckets, briefs, roots, num, den), "jaccard-open")
-    extra = materialise(_links(more, texts, classes, shingle, num, den), "jaccard-extra")
+    more = settled(spark, lambda: _open_pairs(buckets, briefs, roots, num, den), "jaccard-open")
+    extra = settled(spark, lambda: _links(more, texts, classes, shingle, num, den), "jaccard-extra")
     if extra.limit(1).count():
-        roots = components(links.union(extra), "jaccard-all")
+        roots = settled(spark, lambda: components(links.union(extra), "jaccard-all"), "jaccard-roots")
 
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("root"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.tables import joined, only
-from packetloom.session import materialise
+from packetloom.session import materialise, settled
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # Patterns of the base spans. Possessive loops and a start at a run's edge (or at the end of the match
@@ -145,7 +145,7 @@ def pii_spans(docs: DataFrame, limit: float = 0.85, support: int = 3) -> DataFra
     extra columns are ignored; an empty table gives no rows.
     """
     rows = only(docs, "doc_id", "text")
-    found = materialise(found_spans(docs, limit, support), "pii-spans")
+    found = settled(docs.sparkSession, lambda: found_spans(docs, limit, support), "pii-spans")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     clean = rows.where(~may_hold(F.col("text"))).select("doc_id", none.alias("base"), none.alias("terms"))
     held = rows.where(may_hold(F.col("text"))).select("doc_id", F.md5("text").alias("key")).join(found, "key", "left").select(
@@ -162,7 +162,7 @@ def sanitised(docs: DataFrame, limit: float = 0.85, support: int = 3) -> DataFra
     Overlapping spans are replaced as one. Texts without spans, null ones included, stay as they are
     and are not shuffled.
     """
-    found = materialise(found_spans(docs, limit, support), "pii-spans").select(
+    found = settled(docs.sparkSession, lambda: found_spans(docs, limit, support), "pii-spans").select(
         F.col("key").alias("_key"), F.array_sort(F.concat("base", "terms")).alias("_spans"))
     columns = docs.columns
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
