@@ -89,6 +89,35 @@ def test_windows_equal_brute_force(spark):
     assert benchmark_matches(df.limit(0), items).collect() == [] and benchmark_matches(df, items.limit(0)).collect() == []
 
 
+def test_windows_at_the_ends_of_texts(spark):
+    rng = random.Random(11)
+    items = [(n, " ".join(f"i{n}w{rng.randrange(10**6)}" for _ in range(60))) for n in range(12)]
+    docs = []
+    for n, t in items:
+        w = t.split()
+        gone = w[:30] + w[31:]
+        docs += [(100 * n, " ".join([f"pre{j}" for j in range(40)] + gone)), (100 * n + 1, " ".join(gone)), (100 * n + 2, " ".join(w[:51])), (100 * n + 3, " ".join(w[:45])),
+                 (100 * n + 4, " ".join(["pad"] * 20 + w[:53] + [f"post{j}" for j in range(30)])), (100 * n + 5, " ".join(w[7:] + ["pad"] * 20))]
+
+    def shares(w):
+        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        for i, u in items:
+            own = shares(u.split())
+            best = max(len(s & own) / len(s | own) for s in (shares(w[a:a + 60]) for a in range(max(0, len(w) - 60) + 1)))
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    assert {d % 100 for d, _ in want} == {0, 1, 2, 4, 5}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = benchmark_matches(df, bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+    assert {r.n_words for r in got if r.doc_id % 100 == 1} == {59} and {r.n_words for r in got if r.doc_id % 100 == 4} == {60}
+    assert {r.doc_id for r in decontaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 # --- PII -----------------------------------------------------------------------------------------
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
