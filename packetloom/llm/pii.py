@@ -1,9 +1,9 @@
 """PII: patterns, and terms whose co-occurrence with a protected entity discloses it.
 
-Base spans come from four patterns. For every entity they find, the words around it are candidate
-terms. Over the whole corpus, ``PMI(t; e) / IC(e) = 1 + log(p(e | t)) / IC(e)`` says which share of the
-entity's information a term gives away: 1 if the term stands nowhere but next to it. Terms that reach
-the disclosure limit, next to the same entity in enough different texts, are removed there as well.
+Base spans come from four patterns. For every entity they find, all words of the texts that hold it are
+candidate terms. Over the whole corpus, ``PMI(t; e) / IC(e) = 1 + log(p(e | t)) / IC(e)`` says which share of the
+entity's information a term gives away: 1 if the term stands in no text without it. Terms that reach
+the disclosure limit, with the same entity in enough different texts, are removed at all their places in its texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"\p{L}[\p{L}\p{N}'-]*+"
-REACH = 5  # words on either side of an entity
-REACH_CHARS = 120
 
 
 def _luhn(digits: Column) -> Column:
@@ -89,23 +87,33 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return texts.select(*columns, F.array_sort(F.concat(*held)).alias("base"))
 
 
-def _neighbours(hits: DataFrame) -> DataFrame:
-    """(key, entity, term, start, end) for the words within REACH of each base span."""
-    one = hits.select("key", "rows", "text", "base", F.explode("base").alias("s"))
-    begin = F.greatest(F.col("s.start") - REACH_CHARS, F.lit(0))
-    sides = one.select(
-        "key", "rows", "base", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower(F.regexp_replace(F.col("s.value"), r"[^\p{L}\p{N}@.]", ""))).alias("entity"),
-        F.explode(F.array(
-            F.struct(F.lit(True).alias("left"), begin.alias("at"), F.substring("text", begin + 1, F.col("s.start") - begin).alias("part")),
-            F.struct(F.lit(False).alias("left"), F.col("s.end").alias("at"), F.substring("text", F.col("s.end") + 1, F.lit(REACH_CHARS)).alias("part")))).alias("side"))
-    sides = sides.select("key", "rows", "base", "entity", "side.*").withColumn("found", F.regexp_extract_all("part", F.lit(TERM), F.lit(0)))
-    sides = sides.where(F.size("found") > 0).withColumn("gaps", F.split("part", TERM, -1))
-    sides = sides.withColumn("words", _located(F.col("gaps"), F.col("found"), 4))
-    near = F.when(F.col("left"), F.slice("words", F.greatest(F.size("words") - REACH + 1, F.lit(1)), F.lit(REACH))).otherwise(F.slice("words", 1, REACH))
-    words = sides.select("key", "rows", "base", "entity", "at", F.explode(near).alias("w")).select(
-        "key", "rows", "base", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    free = ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return words.where(free).drop("base")
+def _entities(hits: DataFrame) -> DataFrame:
+    """(key, rows, entity), each entity of a text once."""
+    one = hits.select("key", "rows", F.explode("base").alias("s"))
+    return one.select("key", "rows", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower(F.regexp_replace(F.col("s.value"), r"[^\p{L}\p{N}@.]", ""))).alias("entity")).distinct()
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """``text`` with a digit for each base span: what is left of a word cut by a span stays no word of its own."""
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(base, start, step, lambda acc: F.concat(F.array_join(acc["out"], "0"), F.lit("0"), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _places(gaps: Column, found: Column, terms: Column) -> Column:
+    """Spans of the words in ``found`` that are among ``terms``, from the texts between the words and the words."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        a = acc["at"] + F.length(F.get(gaps, i))
+        b = a + F.length(F.get(found, i))
+        one = F.array(F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end")))
+        return F.struct(b.alias("at"), F.when(F.array_contains(terms, F.lower(F.get(found, i))), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
 
 
 def found_spans(docs: DataFrame, limit: float = 0.85, support: int = 3) -> DataFrame:
@@ -116,18 +124,27 @@ def found_spans(docs: DataFrame, limit: float = 0.85, support: int = 3) -> DataF
     texts = only(docs, "text").where(may_hold(F.col("text")))
     hits = base_spans(texts).where(F.size("base") > 0).withColumn("key", F.md5("text"))
     hits = materialise(hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.first("text").alias("text"), F.first("base").alias("base")), "pii-hits")
-    near = materialise(_neighbours(hits), "pii-near")
     n = docs.count()
     words = only(docs, "text").where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     df = words.groupBy(F.xxhash64("term").alias("h")).agg(F.count(F.lit(1)).alias("df"))
-    each = near.select("key", "rows", "entity", "term").distinct()
-    both = each.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    whole = near.select("key", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("of"))
-    told = both.join(whole, "entity").withColumn("h", F.xxhash64("term")).join(df, "h")
+    each = _entities(hits)
     content = -F.log(F.col("of") / F.lit(float(max(n, 1))))
+    whole = each.groupBy("entity").agg(F.sum("rows").alias("of"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= support) & (content > 0))
+    # a term that stands in more texts cannot reach the limit, even if it stands in all of the entity's
+    whole = whole.select("entity", "of", (F.col("of") * F.exp((1 - limit) * content) * (1 + 1e-9)).alias("most"))
+    each = materialise(each.join(whole, "entity"), "pii-entities")
+    some = hits.join(each.select("key").distinct(), "key", "left_semi")
+    held = some.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_outside(F.col("text"), F.col("base"))), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = held.withColumn("h", F.xxhash64("term")).join(df.where(F.col("df") >= support), "h").select("key", "term", "df")
+    near = materialise(held.join(each, "key").where(F.col("df") <= F.col("most")).select("key", "rows", "entity", "of", "term", "df"), "pii-near")
+    both = near.groupBy("entity", "term").agg(
+        F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts"), F.first("of").alias("of"), F.first("df").alias("df")).where(F.col("texts") >= support)
     share = 1 + F.log(F.col("both") / F.greatest("df", "both")) / content
-    told = told.where((content > 0) & (share >= limit)).select("entity", "term")
-    terms = near.join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end")).alias("terms"))
+    told = both.where(share >= limit).select("entity", "term")
+    flagged = near.select("key", "entity", "term").join(told, ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("flagged"))
+    placed = hits.join(flagged, "key").withColumn("found", F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).withColumn("gaps", F.split("text", TERM, -1))
+    free = F.filter(_places(F.col("gaps"), F.col("found"), F.col("flagged")), lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    terms = placed.where(F.size("found") > 0).select("key", free.alias("terms"))
     return hits.select("key", "rows", "base").join(terms, "key", "left").select(
         "key", "rows", F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("base"),
         F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("terms"))

@@ -169,6 +169,19 @@ def test_terms_that_give_an_entity_away(spark):
     assert "Zebulon" not in clean[0] and "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and clean[100].endswith("and [EMAIL]")
 
 
+def test_terms_far_from_their_entity(spark):
+    rows = [(i, f"Zebulon in the headline {'and more of the day ' * (9 + i)}is zed@mail.com here {'and more of the day ' * 9}by zebulon again") for i in range(6)]
+    rows += [(100 + i, f"the headline {i} is here and more of the day by others again in a{i}@b.org") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_spans(df).collect()}
+    for i, t in rows[:6]:
+        last = t.index("zebulon")
+        assert [s for s in got[i].spans.split(",") if s.startswith("term")] == ["term:0:7", f"term:{last}:{last + 7}"]
+    assert all(got[100 + i].n_term == 0 for i in range(40))
+    clean = {r.doc_id: r.text for r in sanitised(df).collect()}
+    assert all("zebulon" not in clean[i].lower() and clean[i].count("[TERM]") == 2 for i in range(6))
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark):
