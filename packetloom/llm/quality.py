@@ -3,6 +3,7 @@
 References are gathered from the corpus: per language, the character-class and common-word
 histograms of all documents that pass the base rules and the length guards. A document is rejected
 when the Jensen-Shannon distance between its own histogram and its language's exceeds the limit.
+Where the corpus holds too little of a language, or none is given, only the base rules decide.
 Short texts have noisy histograms: below the guards a histogram has no say, above them the limit is
 widened by a term that falls with the square root of the length.
 """
@@ -139,8 +140,8 @@ def quality_verdicts(
     """The columns ``keep`` of every row with its base counts, distances and verdict.
 
     ``docs`` needs text and lang; null and empty texts have no words and fail the base rules. A
-    language with fewer than ``min_reference`` reference words, or none given, is held against all
-    languages together. Extra columns are ignored unless kept; repeated rows are judged alike.
+    language with fewer than ``min_reference`` reference words, or none given, has only the base rules;
+    its distances, from all languages together, have no say. Extra columns are ignored unless kept; repeated rows are judged alike.
     """
     refs = materialise(language_references(docs, min_words), "quality-references")
     whole = refs.where("lang is null").head()  # one row
@@ -159,14 +160,16 @@ def quality_verdicts(
             found = features(piece.column("_text"))
             given = piece.column("_reference")
             reference = np.tile(fallback, (piece.num_rows, 1))
-            has = ~np.asarray(given.is_null())
-            if has.any():
+            enough = ~np.asarray(given.is_null())
+            if enough.any():
                 own = given.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_CHAR + N_WORD)
-                reference[has] = np.where(own[:, N_CHAR:].sum(1, keepdims=True) >= min_reference, own, fallback)
+                large = own[:, N_CHAR:].sum(1) >= min_reference
+                enough[enough] = large
+                reference[enough] = own[large]
             by_char = distance(found["chars"], reference[:, :N_CHAR])
             by_word = distance(found["words"], reference[:, N_CHAR:])
             failed, n = base_failed(found), np.maximum(found["n_words"], 1)
-            judged = (found["n_words"] >= min_words) & (reference.sum(1) > 0)
+            judged = (found["n_words"] >= min_words) & enough
             far = (by_char > char_limit + char_noise / np.sqrt(n)) | (by_word > word_limit + word_noise / np.sqrt(n))
             kept = ~failed & ~(judged & far)
             columns = [piece.column("_text" if k == "text" else k) for k in plain]

@@ -62,6 +62,17 @@ def test_quality_follows_the_labels(spark):
     assert sum(not r.kept for r in junk) >= 0.9 * len(junk)
 
 
+def test_quality_keeps_a_small_language(spark, documents):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list(letters), 6)) for letters in ("aeioukstlnm", "αεικλμνοπρσ") for _ in range(400)]
+    small = [(-1 - k, " ".join(rng.choice(words[400 * (k % 2):400 * (k % 2) + 400], 200)), ("fi", "el")[k % 2], "s", 1) for k in range(8)]
+    small += [(-20 - k, small[k][1] + " end", None, "s", 1) for k in range(2)] + [(-30, "again " * 200, "fi", "s", 1)]
+    got = {r.doc_id: r for r in quality_verdicts(documents.unionByName(spark.createDataFrame(small, documents.schema))).collect()}
+    limit = 0.12 + 1.7 / math.sqrt(200)
+    assert all(got[d].kept and got[d].word_distance > limit for d, *_ in small[:-1])
+    assert not got[-30].kept
+
+
 def test_quality_of_nothing(spark, documents):
     assert quality_verdicts(documents.limit(0)).collect() == []
 
