@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.context_tree import lm_scores
 import corpus_pipeline
-from packetloom.llm import fill_middle, licenses
+from packetloom.llm import fill_middle, fp_search, licenses
 from packetloom.llm.decontaminate import benchmark_matches
 from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
@@ -64,15 +64,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.ranked_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle_digests(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc,
-    op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring, op13_fill_in_middle)}
+    op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring, op12_ranked_search,
+    op13_fill_in_middle)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.oracle_sql(),
+    "op12_ranked_search": fp_search.oracle_sql(),
     "op13_fill_in_middle": fill_middle.oracle_sql(),
 }
