@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from packetloom.llm.context_tree import lm_scores
 import corpus_pipeline
 from packetloom.llm import fill_middle, fp_search, licenses
+from packetloom.llm.cross_polytope import near_vectors
 from packetloom.llm.decontaminate import benchmark_matches
 from packetloom.llm.mixing import mix_sources
 from packetloom.llm.ngram_join import jaccard_components
@@ -64,6 +65,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp_search.ranked_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -74,7 +79,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_html_extraction, op2_benchmark_decontamination, op3_source_mixing, op4_license_scan, op5_token_counts, op6_warc,
-    op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring, op12_ranked_search,
+    op7_ngram_jaccard_join, op8_quality_rules, op9_pii, op10_lm_scoring, op11_embedding_near_dedup, op12_ranked_search,
     op13_fill_in_middle)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
