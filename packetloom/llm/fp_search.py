@@ -28,7 +28,8 @@ ITEMS, CHARS = 20_000, 16 << 20  # items of one pass over the documents: at most
 CHUNK = 2_000_000  # term entries of one trie
 LEAF = 16  # documents of a subtree that is not divided further
 CELLS = 4_000_000  # entries worked on at once
-FIRST_WAVE = 32  # one document of so many goes into the first wave
+FIRST_WAVE = 16  # one document of so many goes into the first wave
+PREFIX = 16  # bytes of a path by which documents are dealt; a hot path is dealt on by document
 NO_ID = np.iinfo(np.int64).max
 
 # bytes between terms; all others, also those of other scripts, belong to a term
@@ -258,7 +259,7 @@ class Trie:
             at = to
 
 
-def _search(paths: DataFrame, weights: Broadcast, k: int) -> DataFrame:
+def _search(paths: DataFrame, weights: Broadcast, k: int, tasks: int | None = None) -> DataFrame:
     """The k best documents per item and task; tries hold a bounded number of entries each."""
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[Trie]:
         held, entries = [], 0
@@ -287,7 +288,8 @@ def _search(paths: DataFrame, weights: Broadcast, k: int) -> DataFrame:
             [pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()), pa.array(np.concatenate(best.docs), pa.int64()),
              pa.array(np.concatenate(best.scores).astype(np.int64), pa.int64())], ["item", "doc_id", "score"])
 
-    dealt = paths.repartitionByRange("path", "doc_id").sortWithinPartitions("path", "doc_id")
+    dealt = paths.repartitionByRange(F.substring("path", 1, PREFIX), "doc_id")
+    dealt = (dealt.coalesce(tasks) if tasks else dealt).sortWithinPartitions("path", "doc_id")
     return dealt.mapInArrow(run, "item long, doc_id long, score long")
 
 
@@ -324,7 +326,9 @@ def _search_block(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     early = F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_WAVE)) == 0
     sent_rank = send(rank)
     wave = lambda rows: _paths(rows, sent_rank, n_docs, n_words)
-    ahead = materialise(_ranked(_search(wave(vectors.where(early)), send((weights, np.zeros(len(ids)))), k), k), "fp-ahead")
+    few = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FIRST_WAVE)  # as many documents a task as in the rest
+    ahead = _search(wave(vectors.where(early)), send((weights, np.zeros(len(ids)))), k, few)
+    ahead = materialise(_ranked(ahead, k), "fp-ahead")
     floor = np.zeros(len(ids))
     for r in ahead.where(F.col("rank") == k).collect():  # one row per item of the block
         floor[r.item] = r.score
