@@ -37,9 +37,9 @@ def rows_per_chunk(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_PER_CHUNK_CONF, str(DEFAULT_ROWS_PER_CHUNK)))
 
 
-def cut_points(df: DataFrame, column: str) -> Cuts:
+def cut_points(df: DataFrame, column: str, limit: int | None = None) -> Cuts:
     """Equal-depth cuts of ``column``. Reads that column only; one pass, two for large tables."""
-    limit = rows_per_chunk(df)
+    limit = limit or rows_per_chunk(df)
     only = df.select(F.col(column).cast("double").alias(column))
     n = only.count()
     if n <= limit:

@@ -65,12 +65,16 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP_CONF, before)
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: survives executor loss."""
+def materialise(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: survives executor loss.
+
+    With ``by`` the rows of each value of that column are files of their own.
+    """
     spark = df.sparkSession
     path = run_folder(spark, name)
     with _shuffles_dropped(spark):
-        df.write.mode("errorifexists").parquet(path)
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     written = _written.get()
     if written is not None:
         written.append(path)
