@@ -135,9 +135,14 @@ def packet_events(packets: DataFrame, alerts: DataFrame, window: float = 30.0, c
     """Every packet with its matched alert and the whitelist flag."""
     matched = match_alerts(packets, alerts, window, cuts).join(
         alerts.select("event_no", "signature", "severity"), "event_no").drop("event_no")
+    return as_events(packets.join(matched, "pkt_id", "left"))
+
+
+def as_events(matched: DataFrame) -> DataFrame:
+    """Packet events from packets with the tier, signature and severity of their alert, if any."""
     hit = F.col("tier").isNotNull()
-    flagged = in_networks(packets, {"src_white": "src_ip", "dst_white": "dst_ip"}, WHITELISTED_NETWORKS)
-    return flagged.join(matched, "pkt_id", "left").select(
+    flagged = in_networks(matched, {"src_white": "src_ip", "dst_white": "dst_ip"}, WHITELISTED_NETWORKS)
+    return flagged.select(
         "pkt_id", "ts_s", "src_ip", F.col("sport").alias("src_port"), "dst_ip", F.col("dport").alias("dst_port"),
         protocol_name(F.col("proto")).alias("protocol"), "length", hit.alias("is_alert"), "signature", "severity",
         F.when(hit, "suricata_alert").alias("category"),

@@ -509,4 +509,4 @@ ORACLES["stream_alert_ingest"] = ORACLES["alert_normalise"]
 oracle("stream_alert_fusion", ("eve",), "SELECT pkt_id, tier, event_no FROM best", FUSED)
 ORACLES["stream_dashboard"] = ORACLES["dashboard_snapshot"]
 ORACLES["stream_predictions_30s"] = ORACLES["predictions_30s"]
-oracle("stream_packet_events", P, f"SELECT pkt_id, src_ip, sport AS src_port, dst_ip, dport AS dst_port, {PROTO_NAME} AS protocol, length, false AS is_alert, CAST(NULL AS INTEGER) AS severity FROM packets")
+ORACLES["stream_packet_events"] = ORACLES["packet_events"]

@@ -1178,10 +1178,24 @@ def stream_scoring(packets, kdd):
     return replay(packets, _append(lambda s: score_stream(s, scorer))).drop("ts_s")
 
 
-@query("packets")
-def stream_packet_events(packets):
-    """Every landed packet as one row of the packet_events table."""
-    from packetloom.streaming.jobs import plain_events
+def _two_feeds(packets, alerts, delay: float):
+    """Packets and alerts as one landing table; alerts arrive ``delay`` seconds after their time."""
+    p = packets.select(F.lit(True).alias("is_packet"), F.col("ts_s").alias("arrives"), "ts_s", "pkt_id", "src_ip", F.col("dst_ip").alias("dest_ip"),
+                       "sport", "dport", "proto", "length")
+    a = alerts.select(F.lit(False).alias("is_packet"), (F.col("ts_s") + delay).alias("arrives"), "ts_s", "event_no", "src_ip", "dest_ip", "signature", "severity")
+    return materialise(p.unionByName(a, allowMissingColumns=True), "feeds")
+
+
+@query("packets", "eve")
+def stream_packet_events(packets, eve):
+    """Packets and a late alert log as streams: every packet as an event with its alert."""
+    from packetloom.streaming.matching import events_to_table
     from packetloom.streaming.replay import replay
 
-    return replay(packets, _append(plain_events)).drop("ts_s")
+    def run(stream, path, checkpoint):
+        feed = stream()
+        p = feed.where("is_packet").withColumnRenamed("dest_ip", "dst_ip")
+        events_to_table(p, feed.where("not is_packet"), path, checkpoint, origin=DAY)
+
+    feeds = _two_feeds(packets, fusion.read_alerts(eve), delay=20.0)
+    return replay(feeds, run, close=True, origin=DAY, by="arrives").drop("batch")

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from packetloom.functions.packets import protocol_name
 from packetloom.functions.verdicts import load_band, severity_bucket
 from packetloom.operators.flows import FIVE_TUPLE
 from packetloom.streaming.state import best_candidate
 
 MICRO_BATCH = "500 milliseconds"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on disk, as maps, lists and timers need it. A query keeps the settings it starts with."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def throughput_stream(packets: DataFrame, dropped: Column, attack: Column, seconds: int = 2) -> DataFrame:
@@ -56,8 +69,9 @@ def score_stream(features: DataFrame, scorer: Callable[[DataFrame], DataFrame])
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has landed, append it to a table exactly once, and stop."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start()
+    with _rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(
+            "append").trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
@@ -71,7 +85,8 @@ def run_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
     """``foreachBatch`` over what has landed, or in micro-batches until the returned query is stopped."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": MICRO_BATCH} if continuous else {"availableNow": True}
-    query = writer.trigger(**trigger).start()
+    with _rocksdb(stream.sparkSession):
+        query = writer.trigger(**trigger).start()
     if not continuous:
         query.awaitTermination()
     return query
@@ -140,13 +155,6 @@ def read_dashboard(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def plain_events(packets: DataFrame) -> DataFrame:
-    """Packet events of a stream without alert matching."""
-    return packets.select(
-        "pkt_id", "ts_s", "src_ip", F.col("sport").alias("src_port"), "dst_ip", F.col("dport").alias("dst_port"),
-        protocol_name(F.col("proto")).alias("protocol"), "length", F.lit(False).alias("is_alert"), F.lit(None).cast("int").alias("severity"))
-
-
 def on_alert(alerts: DataFrame, checkpoint: str, callback: Callable[[DataFrame, int], None]) -> None:
     """Hand every micro-batch of alerts to a callback."""
     run_batches(alerts, checkpoint, callback)
