@@ -1079,7 +1079,7 @@ def stream_scan_classifier(packets):
     from packetloom.streaming.replay import replay
     from packetloom.streaming.state import scan_state_stream
 
-    return scans.scan_verdict(replay(packets, _append(scan_state_stream), origin=DAY)).drop("ts_s")
+    return scans.scan_verdict(replay(packets, _append(lambda s: scan_state_stream(s, origin=DAY)), origin=DAY)).drop("ts_s")
 
 
 @query("packets")
@@ -1126,22 +1126,18 @@ def stream_alert_ingest(eve):
 
 @query("packets", "eve")
 def stream_alert_fusion(packets, eve):
+    """Packets and a late alert log as streams: the best alert of every packet that has one."""
     from packetloom.streaming.jobs import fuse_to_table
+    from packetloom.streaming.matching import match_stream
     from packetloom.streaming.replay import replay
-    from packetloom.streaming.state import alert_candidates_stream
-
-    # one landing table holds both feeds; each row says which one it belongs to
-    alerts = fusion.read_alerts(eve)
-    landed = packets.select(F.col("pkt_id").alias("row_no"), "ts_s", "src_ip", F.col("dst_ip").alias("other_ip"), F.lit(False).alias("is_alert")).unionByName(
-        alerts.select(F.col("event_no").alias("row_no"), "ts_s", "src_ip", F.col("dest_ip").alias("other_ip"), F.lit(True).alias("is_alert")))
 
     def run(stream, path, checkpoint):
         feed = stream()
-        p = feed.where(~F.col("is_alert")).withColumnsRenamed({"row_no": "pkt_id", "other_ip": "dst_ip"})
-        a = feed.where("is_alert").withColumnsRenamed({"row_no": "event_no", "other_ip": "dest_ip"})
-        fuse_to_table(alert_candidates_stream(p, a), path, checkpoint)
+        p = feed.where("is_packet").withColumnRenamed("dest_ip", "dst_ip")
+        fuse_to_table(match_stream(p, feed.where("not is_packet"), origin=DAY), path, checkpoint)
 
-    return replay(landed, run, origin=DAY).select("pkt_id", "tier", "event_no")
+    feeds = _two_feeds(packets, fusion.read_alerts(eve), delay=5.0)
+    return replay(feeds, run, close=True, origin=DAY, by="arrives").select("pkt_id", "tier", "event_no")
 
 
 @query("packets", "eve")

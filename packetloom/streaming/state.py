@@ -7,12 +7,14 @@ applied.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.functions.packets import is_common_port
@@ -43,33 +45,83 @@ def _parts(ts: np.ndarray, last: float, idle: float) -> list[tuple[int, int, boo
     return [(int(a), int(b), bool(fresh[a])) for a, b in zip(begins, [*begins[1:], len(ts)])]
 
 
-def scan_state_stream(packets: DataFrame, idle: float = 60.0) -> DataFrame:
-    """Running distinct ports and targets per source since it was last idle longer than ``idle``."""
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _in_order(frames, ["ts_s", "pkt_id"])
-        ports, targets, last = set(), set(), -np.inf
-        if state.exists:
-            p, t, last = state.get
-            ports, targets = set(p), set(t)
-        n_ports, n_targets = [], []
-        for ts, port, target in zip(pdf["ts_s"], pdf["dport"], pdf["dst_ip"]):
-            if ts - last > idle:
-                ports, targets = set(), set()
-            ports.add(int(port))
-            targets.add(target)
-            last = ts
-            n_ports.append(len(ports))
-            n_targets.append(len(targets))
-        state.update((sorted(ports), sorted(targets), float(last)))
-        _expire(state, last + idle)
-        yield pdf.assign(src_ip=key[0], n_ports=n_ports, n_targets=n_targets)[["pkt_id", "ts_s", "src_ip", "dst_ip", "dport", "n_ports", "n_targets"]]
+class ScanState(StatefulProcessor):
+    """Ports and targets a source has met since it was last idle, spread over the buckets of two maps.
+
+    However many targets a source has, a value of the store holds those of one bucket, and a micro-batch
+    reads and writes only the buckets its own new values fall into.
+    """
+
+    BUCKETS = 1024
+
+    def __init__(self, idle: float, origin: float):
+        self.idle, self.origin = idle, origin
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.met = {"dport": handle.getMapState("ports", "bucket int", "members array<string>"),
+                    "dst_ip": handle.getMapState("targets", "bucket int", "members array<string>")}
+        self.total = handle.getValueState("total", "n_ports long, n_targets long, last double")
+
+    def _new(self, column: str, values: np.ndarray) -> np.ndarray:
+        """Which rows bring a value the source has not met; they are remembered."""
+        names, first = np.unique(values, return_index=True)
+        buckets = np.array([zlib.crc32(n.encode()) % self.BUCKETS for n in names])
+        flags, met = np.zeros(len(values), dtype=np.int64), self.met[column]
+        for bucket in np.unique(buckets).tolist():
+            here = np.flatnonzero(buckets == bucket)
+            held = met.getValue((bucket,))
+            members = set(held[0]) if held else set()
+            fresh = [i for i in here.tolist() if names[i] not in members]
+            if fresh:
+                met.updateValue((bucket,), (sorted(members | {str(names[i]) for i in fresh}),))
+                flags[first[fresh]] = 1
+        return flags
+
+    def _forget(self) -> None:
+        for met in self.met.values():
+            met.clear()
 
-    return packets.select("pkt_id", "ts_s", "src_ip", "dst_ip", "dport", "ts").groupBy("src_ip").applyInPandasWithState(
-        step, "pkt_id long, ts_s double, src_ip string, dst_ip string, dport int, n_ports long, n_targets long",
-        "ports array<int>, targets array<string>, last double", "append", EVENT_TIME)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _in_order(rows, ["ts_s", "pkt_id"])
+        ts = pdf["ts_s"].to_numpy(dtype=float)
+        n_ports, n_targets, last = self.total.get() or (0, 0, np.nan)
+        counts = {"n_ports": [], "n_targets": []}
+        for begin, end, fresh in _parts(ts, last, self.idle):
+            if fresh:
+                if n_ports:
+                    self._forget()
+                n_ports, n_targets = 0, 0
+            part = pdf.iloc[begin:end]
+            counts["n_ports"].append(n_ports + np.cumsum(self._new("dport", part["dport"].astype(str).to_numpy(dtype=str))))
+            counts["n_targets"].append(n_targets + np.cumsum(self._new("dst_ip", part["dst_ip"].to_numpy(dtype=str))))
+            n_ports, n_targets = int(counts["n_ports"][-1][-1]), int(counts["n_targets"][-1][-1])
+        self.total.update((n_ports, n_targets, float(ts[-1])))
+        self.handle.registerTimer(self._ends(float(ts[-1])))
+        out = pdf.assign(src_ip=key[0], **{name: np.concatenate(parts) for name, parts in counts.items()})
+        yield out[["pkt_id", "ts_s", "src_ip", "dst_ip", "dport", "n_ports", "n_targets"]]
+
+    def _ends(self, last: float) -> int:
+        return int((last + self.origin + self.idle) * 1000) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        total = self.total.get()
+        if total and self._ends(total[2]) <= timerValues.getCurrentWatermarkInMs():  # no later packet has come
+            self._forget()
+            self.total.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def scan_state_stream(packets: DataFrame, idle: float = 60.0, origin: float = 0.0) -> DataFrame:
+    """Running distinct ports and targets per source since it was last idle longer than ``idle``.
+
+    ``origin`` is the epoch time of second 0.
+    """
+    return packets.select("pkt_id", "ts_s", "src_ip", "dst_ip", "dport", "ts").groupBy("src_ip").transformWithStateInPandas(
+        ScanState(idle, origin), "pkt_id long, ts_s double, src_ip string, dst_ip string, dport int, n_ports long, n_targets long", "Append", "EventTime")
 
 
 def running_flow_stream(packets: DataFrame, keys: list[str] = FIVE_TUPLE, limit: float = 60.0, idle: float = 300.0) -> DataFrame:
@@ -154,55 +206,9 @@ def decision_stream(packets: DataFrame, keep: float = 3600.0) -> DataFrame:
         step, f"pkt_id long, {key_types}, decision string", "last double", "append", EVENT_TIME)
 
 
-def alert_candidates_stream(packets: DataFrame, alerts: DataFrame, window: float = 30.0) -> DataFrame:
-    """Candidate alerts of each packet: (pkt_id, tier, alert time, event_no).
-
-    Each key, an address pair or a single address, remembers its newest alert per direction; a
-    packet reads them and never meets older ones, so no pairs build up. A packet sees the alerts
-    that arrived with or before it.
-    """
-    pair = lambda a, b: F.concat_ws("|", F.least(a, b), F.greatest(a, b))
-    ends = lambda a, b: F.array_distinct(F.array(a, b))
-
-    def keyed(df: DataFrame, a: str, b: str, row_id: str, is_packet: int) -> DataFrame:
-        entries = F.concat(
-            F.array(F.struct(pair(F.col(a), F.col(b)).alias("k"), F.lit(True).alias("is_pair"))),
-            F.transform(ends(F.col(a), F.col(b)), lambda ip: F.struct(ip.alias("k"), F.lit(False).alias("is_pair"))))
-        return df.select(F.explode(entries).alias("e"), (F.col(a) <= F.col(b)).alias("up"), "ts_s", "ts",
-                         F.col(row_id).alias("row_id"), F.lit(is_packet).alias("is_packet")).select(
-            "e.k", "e.is_pair", "up", "ts_s", "ts", "row_id", "is_packet")
-
-    both = keyed(packets, "src_ip", "dst_ip", "pkt_id", 1).unionByName(keyed(alerts, "src_ip", "dest_ip", "event_no", 0))
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _in_order(frames, ["ts_s", "is_packet", "row_id"])
-        is_pair = key[1]
-        # newest alert per direction: (time, number); single addresses use one slot
-        kept = list(state.get) if state.exists else [-np.inf, -1, -np.inf, -1]
-        found = []
-        for ts, up, row_id, is_packet in zip(pdf["ts_s"], pdf["up"], pdf["row_id"], pdf["is_packet"]):
-            slot = 0 if up or not is_pair else 2
-            if not is_packet:
-                kept[slot:slot + 2] = [float(ts), int(row_id)]
-                continue
-            for tier, at in ((1, slot), (2, 2 - slot)) if is_pair else ((3, 0),):
-                if ts - kept[at] <= window:
-                    found.append((int(row_id), tier, kept[at], kept[at + 1]))
-        state.update(tuple(kept))
-        _expire(state, float(pdf["ts_s"].iloc[-1]) + window)
-        if found:
-            yield pd.DataFrame(found, columns=["pkt_id", "tier", "alert_ts", "event_no"])
-
-    return both.groupBy("k", "is_pair").applyInPandasWithState(
-        step, "pkt_id long, tier int, alert_ts double, event_no long",
-        "up_ts double, up_no long, down_ts double, down_no long", "append", EVENT_TIME)
-
-
 def best_candidate(candidates: DataFrame) -> DataFrame:
-    """Best tier, then newest alert, of each packet; used per micro-batch."""
+    """Best tier, then newest alert, of each packet that has one; used per micro-batch."""
+    candidates = candidates.where("tier is not null")
     rank = F.struct((-F.col("tier")).alias("t"), F.col("alert_ts"), F.col("event_no"))
     return candidates.groupBy("pkt_id").agg(F.max(rank).alias("b")).select(
         "pkt_id", (-F.col("b.t")).alias("tier"), F.col("b.event_no").alias("event_no"))
