@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.verdicts import alert_category, severity_bucket, severity_class, severity_text
-from packetloom.session import materialise
 
 
 def protocol_counts(events: DataFrame) -> DataFrame:
@@ -63,29 +66,90 @@ def latest_attack(attacks: DataFrame, packets: DataFrame, max_age: float = 10.0)
     return last.where(now.scalar() - F.col("a.ts_s") < max_age).select("a.*")
 
 
-def dashboard_snapshot(events: DataFrame) -> DataFrame:
+RECENT_PACKETS, RECENT_SIZES, RECENT_ALERTS, TOP = 20, 50, 10, 5  # rows a dashboard shows
+PARTIAL = "metric string, key string, n long, first_ts double, first_id long, last_ts double, value double"
+RANKED = ("top_sources", "top_destinations", "recent", "recent_alerts")
+
+
+def dashboard_partials(events: DataFrame) -> DataFrame:
+    """Mergeable parts of all dashboard figures, from one read of the events.
+
+    Counts come per Arrow batch, the newest packets and alerts per task; both are merged by
+    ``merged_partials``, and so are the parts of several tables.
+    """
+    endpoint = lambda ip, port: F.concat(F.col(ip), F.lit(":"), F.col(port).cast("string"))
+    needed = events.select(
+        "pkt_id", "ts_s", "protocol", endpoint("src_ip", "src_port").alias("source"), endpoint("dst_ip", "dst_port").alias("destination"),
+        F.col("length").cast("double").alias("length"), "is_alert", F.col("severity").cast("double").alias("severity"),
+        severity_bucket(F.col("severity")).cast("string").alias("bucket"))
+    columns = [c.split()[0] for c in PARTIAL.split(", ")]
+
+    def counted(frame: pd.DataFrame, metric: str, key: pd.Series | str) -> pd.DataFrame:
+        ordered = frame.assign(key=key).sort_values(["ts_s", "pkt_id"])
+        groups = ordered.groupby("key", dropna=False, sort=False)
+        return pd.DataFrame({"n": groups.size(), "first_ts": groups["ts_s"].first(), "first_id": groups["pkt_id"].first(),
+                             "last_ts": groups["ts_s"].last()}).reset_index().assign(metric=metric, value=np.nan)
+
+    def newest(frame: pd.DataFrame, metric: str, value: str) -> pd.DataFrame:
+        return pd.DataFrame({"metric": metric, "key": frame["pkt_id"].astype(str), "n": 1, "first_ts": frame["ts_s"], "first_id": frame["pkt_id"],
+                             "last_ts": frame["ts_s"], "value": frame[value]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packets, alerts = None, None
+        latest = lambda kept, frame, k: pd.concat([kept, frame]).sort_values(["ts_s", "pkt_id"]).tail(k)
+        for frame in frames:
+            if not len(frame):
+                continue
+            hit = frame[frame["is_alert"]]
+            parts = [counted(frame, "total_packets", "all"), counted(frame, "protocols", frame["protocol"]),
+                     counted(frame, "top_sources", frame["source"]), counted(frame, "top_destinations", frame["destination"])]
+            if len(hit):
+                parts += [counted(hit, "alert_count", "all"), counted(hit, "alerts_by_severity", hit["bucket"])]
+                alerts = latest(alerts, hit, RECENT_ALERTS)
+            packets = latest(packets, frame, RECENT_SIZES)
+            yield pd.concat(parts)[columns]
+        if packets is not None:
+            yield newest(packets, "recent", "length")[columns]
+        if alerts is not None:
+            yield newest(alerts, "recent_alerts", "severity")[columns]
+
+    return needed.mapInPandas(run, PARTIAL)
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """One row per (metric, key) again."""
+    first = F.min(F.when(F.col("first_ts").isNotNull(), F.struct("first_ts", "first_id")))
+    return partials.groupBy("metric", "key").agg(
+        F.sum("n").alias("n"), first.alias("first"), F.max("last_ts").alias("last_ts"), F.max("value").alias("value")).select(
+        "metric", "key", "n", "first.first_ts", "first.first_id", "last_ts", "value")
+
+
+def dashboard_figures(partials: DataFrame) -> DataFrame:
     """Every dashboard figure in long form (metric, key, value)."""
-    def part(df: DataFrame, metric: str, key: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
-
-    # ten figures read the same events: write the few columns they need once
-    events = materialise(events.select("pkt_id", "ts_s", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "length", "is_alert", "severity"), "events")
-    totals = events.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_alert").alias("a"), (F.max("ts_s") - F.min("ts_s")).alias("up"))
-    alerts = events.where("is_alert")
-    newest = events.orderBy(F.desc("ts_s"), F.desc("pkt_id"))
-    parts = [
-        part(totals, "total_packets", F.lit("all"), F.col("n")),
-        part(totals, "alert_count", F.lit("all"), F.col("a")),
-        part(totals, "uptime", F.lit("seconds"), F.col("up")),
-        part(protocol_counts(events), "protocols", F.col("protocol"), F.col("n")),
-        part(top_endpoints(events, "src_ip", "src_port"), "top_sources", F.col("endpoint"), F.col("n")),
-        part(top_endpoints(events, "dst_ip", "dst_port"), "top_destinations", F.col("endpoint"), F.col("n")),
-        part(alerts_by_severity(alerts), "alerts_by_severity", F.col("severity"), F.col("n")),
-        part(newest.limit(20), "recent_packets", F.col("pkt_id"), F.col("length")),
-        part(newest.limit(50), "packet_sizes", F.col("pkt_id"), F.col("length")),
-        part(alerts.orderBy(F.desc("ts_s"), F.desc("pkt_id")).limit(10), "recent_alerts", F.col("pkt_id"), F.col("severity")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    figure = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    zeros = [("total_packets", "all"), ("alert_count", "all"), *[("alerts_by_severity", str(s)) for s in range(1, 5)]]
+    none = partials.sparkSession.createDataFrame([(m, k, 0) for m, k in zeros], "metric string, key string, n long")
+    merged = merged_partials(partials.unionByName(none, allowMissingColumns=True))
+    # only the ranked metrics share a window each; every other row is one of its own
+    is_ranked, is_recent = F.col("metric").isin(*RANKED), F.col("metric").isin("recent", "recent_alerts")
+    order = Window.partitionBy("metric", F.when(~is_ranked, F.col("key"))).orderBy(
+        F.desc(F.when(is_recent, F.col("first_ts")).otherwise(F.col("n"))),
+        F.when(is_recent, -F.col("first_id").cast("double")).otherwise(F.col("first_ts")), "first_id")
+    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= RECENT_SIZES)
+    metric, rank = F.col("metric"), F.col("rank")
+    key, n, value = F.col("key"), F.col("n"), F.col("value")
+    shown = F.when(metric == "total_packets", F.array(
+        figure("total_packets", key, n), figure("uptime", F.lit("seconds"), F.col("last_ts") - F.col("first_ts"))))
+    shown = shown.when(metric == "recent", F.array_compact(F.array(
+        F.when(rank <= RECENT_PACKETS, figure("recent_packets", key, value)), figure("packet_sizes", key, value))))
+    shown = shown.when((metric == "recent_alerts") & (rank <= RECENT_ALERTS), F.array(figure("recent_alerts", key, value)))
+    for name in ("top_sources", "top_destinations"):
+        shown = shown.when((metric == name) & (rank <= TOP), F.array(figure(name, key, n)))
+    for name in ("protocols", "alert_count", "alerts_by_severity"):
+        shown = shown.when(metric == name, F.array(figure(name, key, n)))
+    return ranked.select(F.explode(shown).alias("f")).select("f.*")
+
+
+def dashboard_snapshot(events: DataFrame) -> DataFrame:
+    """Every dashboard figure in long form (metric, key, value); the events are read once."""
+    return dashboard_figures(dashboard_partials(events))

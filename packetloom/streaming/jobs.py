@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from packetloom.functions.verdicts import load_band, severity_bucket
+from packetloom.functions.verdicts import load_band
 from packetloom.operators.flows import FIVE_TUPLE
+from packetloom.operators.traffic import dashboard_figures, dashboard_partials, merged_partials
 from packetloom.streaming.state import best_candidate
 
 MICRO_BATCH = "500 milliseconds"
@@ -102,57 +103,19 @@ def fuse_to_table(candidates: DataFrame, path: str, checkpoint: str) -> None:
     run_batches(candidates, checkpoint, lambda df, i: batch_table(best_candidate(df), path, i))
 
 
-RECENT_PACKETS, RECENT_ALERTS = 50, 10  # newest rows a dashboard shows
-
-
 def dashboard_to_table(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Per-batch partial figures and newest rows; ``read_dashboard`` combines them."""
-    def handle(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()  # read three times below
-        endpoint = lambda ip, port: F.concat(F.col(ip), F.lit(":"), F.col(port).cast("string"))
-        entries = F.array(
-            F.struct(F.lit("total_packets").alias("metric"), F.lit("all").alias("key")),
-            F.struct(F.lit("protocols").alias("metric"), F.col("protocol").alias("key")),
-            F.struct(F.lit("top_sources").alias("metric"), endpoint("src_ip", "src_port").alias("key")),
-            F.struct(F.lit("top_destinations").alias("metric"), endpoint("dst_ip", "dst_port").alias("key")),
-            F.when(F.col("is_alert"), F.struct(F.lit("alerts_by_severity").alias("metric"), severity_bucket(F.col("severity")).cast("string").alias("key"))))
-        counted = df.select(F.explode(F.array_compact(entries)).alias("e"), "ts_s", "pkt_id").groupBy("e.metric", "e.key").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("ts_s", "pkt_id")).alias("first_seen"), F.max("ts_s").alias("last_ts"))
-        batch_table(counted, f"{path}/figures", batch_id)
-        newest = df.orderBy(F.desc("ts_s"), F.desc("pkt_id")).select("pkt_id", "ts_s", "length", "severity", "is_alert")
-        batch_table(newest.limit(RECENT_PACKETS).unionByName(newest.where("is_alert").limit(RECENT_ALERTS)).distinct(), f"{path}/recent", batch_id)
-        df.unpersist()
-
-    run_batches(events, checkpoint, handle)
+    """Mergeable figures of every micro-batch; ``read_dashboard`` combines them."""
+    run_batches(events, checkpoint, lambda df, i: batch_table(merged_partials(dashboard_partials(df)), path, i))
 
 
 def read_dashboard(spark: SparkSession, path: str) -> DataFrame:
     """Current figures in long form (metric, key, value), from all batches so far."""
-    figures = spark.read.parquet(f"{path}/figures").groupBy("metric", "key").agg(
-        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_ts").alias("last_ts"))
-    recent = spark.read.parquet(f"{path}/recent").drop("batch").distinct().orderBy(F.desc("ts_s"), F.desc("pkt_id"))
-
-    def part(df: DataFrame, metric: Column, key: Column, value: Column) -> DataFrame:
-        return df.select(metric.alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
-
-    of = lambda m: figures.where(F.col("metric") == m)
-    top = lambda m: of(m).orderBy(F.desc("n"), "first_seen").limit(5)
-    by_severity = of("alerts_by_severity").agg(*[F.coalesce(F.sum(F.when(F.col("key") == str(s), F.col("n"))), F.lit(0)).alias(f"s{s}") for s in range(1, 5)])
-    parts = [
-        part(figures.where(F.col("metric").isin("total_packets", "protocols")), F.col("metric"), F.col("key"), F.col("n")),
-        part(of("total_packets"), F.lit("uptime"), F.lit("seconds"), F.col("last_ts") - F.col("first_seen.ts_s")),
-        part(top("top_sources"), F.col("metric"), F.col("key"), F.col("n")),
-        part(top("top_destinations"), F.col("metric"), F.col("key"), F.col("n")),
-        part(by_severity, F.lit("alert_count"), F.lit("all"), F.col("s1") + F.col("s2") + F.col("s3") + F.col("s4")),
-        *[part(by_severity, F.lit("alerts_by_severity"), F.lit(s), F.col(f"s{s}")) for s in range(1, 5)],
-        part(recent.limit(20), F.lit("recent_packets"), F.col("pkt_id"), F.col("length")),
-        part(recent.limit(RECENT_PACKETS), F.lit("packet_sizes"), F.col("pkt_id"), F.col("length")),
-        part(recent.where("is_alert").limit(RECENT_ALERTS), F.lit("recent_alerts"), F.col("pkt_id"), F.col("severity")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return dashboard_figures(spark.read.parquet(path).drop("batch"))
+
+
+def compact_dashboard(spark: SparkSession, path: str, target: str) -> None:
+    """All batches so far as one, into another table: ``read_dashboard`` gives the same figures from it."""
+    batch_table(merged_partials(spark.read.parquet(path).drop("batch")), target, 0)
 
 
 def on_alert(alerts: DataFrame, checkpoint: str, callback: Callable[[DataFrame, int], None]) -> None:
