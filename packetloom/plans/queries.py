@@ -945,6 +945,25 @@ def train_boosted_multiclass(df):
     return _metrics_of(df, "gradient_boosting", maxIter=3, maxDepth=3)
 
 
+CLASS_RULE = "CASE WHEN proto = 1 THEN 0 WHEN proto = 17 THEN 1 WHEN dport < 100 THEN 2 ELSE 3 END"
+
+
+@query("packets")
+def boosted_classes(packets):
+    """Boosted class trees learn a rule of two features from six sevenths of the packets; the rest is predicted.
+
+    The model is fitted on one half of its rows and grown on the other.
+    """
+    from packetloom.operators.boosting import Settings, fit_boosted
+    from packetloom.plans.training import grow_boosted
+
+    names, settings = ["length", "dport", "proto", "ttl"], Settings(rounds=6, depth=3)
+    rows = packets.withColumn("label", F.expr(CLASS_RULE))
+    learnt, half = rows.where("pkt_id % 7 <> 0"), F.floor(F.col("pkt_id") / 10) % 2
+    model = grow_boosted(fit_boosted(learnt.where(half == 0), names, "label", 4, settings), learnt.where(half == 1), settings)
+    return model.transform(rows.where("pkt_id % 7 = 0").select("pkt_id", *names)).select("pkt_id", F.col("prediction").cast("int").alias("predicted"))
+
+
 @query("cic_flows")
 def train_tuned(df):
     """Random search over two draws with cross-validated macro F1."""

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.verdicts import prediction_gate
 from packetloom.operators import balance, cleaning, encoding, evaluate, lookups, neighbours, profiling, sampling
+from packetloom.operators.boosting import Boosted, Settings, fit_boosted
 from packetloom.operators.features import align_features
 from packetloom.plans.preprocess import preprocess_flow_table
 from packetloom.session import materialise
@@ -115,10 +116,25 @@ def _param_map(model, params: dict, rows: int) -> dict:
     return {inner.getParam(k): v for k, v in named.items()}
 
 
+BOOSTED = ("gradient_boosting", "xgboost")
+
+
+def boosting_settings(name: str, params: dict) -> Settings:
+    """Settings of class trees by the names the estimators have for them."""
+    names = {"maxIter": "rounds", "maxDepth": "depth", "stepSize": "step", "subsamplingRate": "row_share"}
+    given = {names.get(k, k): v for k, v in params.items()}
+    return Settings(**{"rounds": 20, "depth": 6 if name == "xgboost" else 3, "step": 0.1, **given})
+
+
+def grow_boosted(model: Boosted, batch: DataFrame, settings: Settings | None = None) -> Boosted:
+    """A warm start: trees learnt from a new labelled batch are added, the earlier ones stay."""
+    return fit_boosted(batch, model.features, "label", model.classes, settings, model)
+
+
 @dataclass
 class Trained:
     name: str
-    model: PipelineModel
+    model: PipelineModel | Boosted
     metrics: dict
     params: dict = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
@@ -164,13 +180,17 @@ def train_model(name: str, train: DataFrame, test: DataFrame, features: list[str
         best, _ = random_search(name, assemble(train, features), len(counts), row_id, n_iter, folds)
         params = {**params, **best}
     validation = None
-    if name in ("gradient_boosting", "xgboost") and len(counts) <= 2:
+    if name in BOOSTED and len(counts) <= 2:
         # early stopping watches a fifth of the training rows
         vectors = vectors.withColumn("_validation", F.pmod(F.xxhash64(*features), F.lit(5)) == 0)
         validation = "_validation"
     error = ""
+    if name in BOOSTED and len(counts) > 2 and weight is None:
+        boosted = fit_boosted(fitted, features, "label", max(counts) + 1, boosting_settings(name, params))
+    else:
+        boosted = None
     try:
-        model = estimator(name, len(counts), rows, weight, validation, **params).fit(vectors)
+        model = boosted or estimator(name, len(counts), rows, weight, validation, **params).fit(vectors)
     except Exception as e:  # the model, not the job, is given up
         error = f"{type(e).__name__}: {str(e)[:500]}"
         small = {"random_forest": {"numTrees": 5, "maxDepth": 5}, "decision_tree": {"maxDepth": 5}}.get(name, {"maxIter": 5})
@@ -181,7 +201,7 @@ def train_model(name: str, train: DataFrame, test: DataFrame, features: list[str
             if failures is not None:
                 failures.append({"model_name": name, "error": error})
             return None
-    pipeline = PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), model])
+    pipeline = boosted or PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), model])
     majority = max(counts, key=lambda c: (counts[c], -c))
     predicted = pipeline.transform(test).withColumn("prediction", F.col("prediction").cast("int"))
     known = F.col("prediction").isin(list(counts))  # classes are a handful of codes
@@ -236,7 +256,7 @@ def feature_importance(model: PipelineModel | Model, features: list[str], top: i
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def score(df: DataFrame, model: PipelineModel, features: list[str], keep: list[str]) -> DataFrame:
+def score(df: DataFrame, model: PipelineModel | Boosted, features: list[str], keep: list[str]) -> DataFrame:
     """Align the input, predict, and take the most likely class with its probability."""
     return evaluate.best_class(model.transform(align_features(df, features, keep)))
 

@@ -7,6 +7,8 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from packetloom.operators.boosting import Boosted
+
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Append as CSV; every part carries its header, so readers see it once."""
@@ -38,14 +40,21 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
-    """The fitted pipeline with its metadata next to it."""
-    model.write().overwrite().save(f"{path}/model")
-    write_json(SparkSession.active(), metadata, f"{path}/metadata")
+def save_model(model: PipelineModel | Boosted, path: str, metadata: dict) -> None:
+    """The fitted pipeline, or the boosted class trees as JSON, with its metadata next to it."""
+    if isinstance(model, Boosted):
+        write_json(SparkSession.active(), {"boosted": model.to_json()}, f"{path}/trees")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    write_json(SparkSession.active(), {**metadata, "kind": "boosted"} if isinstance(model, Boosted) else metadata, f"{path}/metadata")
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), read_json(SparkSession.active(), f"{path}/metadata")
+def load_model(path: str) -> tuple[PipelineModel | Boosted, dict]:
+    spark = SparkSession.active()
+    metadata = read_json(spark, f"{path}/metadata")
+    if metadata.get("kind") == "boosted":
+        return Boosted.from_json(read_json(spark, f"{path}/trees")["boosted"]), metadata
+    return PipelineModel.load(f"{path}/model"), metadata
 
 
 def append_leaderboard(row: dict, path: str) -> None:
