@@ -3,7 +3,7 @@
 Documents are restricted to the terms the items use, and every restricted vector is ordered by term
 frequency, rarest first. Sorted vectors share prefixes, so a run of them is a trie whose nodes are
 ranges of documents. The largest tf of each term and the smallest m below a node bound the score of
-every document in it from above, for a rare term that is missing below a node as 0. A depth-first walk
+every document in it from above; a term that no document below a node has adds nothing. A depth-first walk
 takes the most promising child first and drops an item from a subtree as soon as the bound cannot reach
 the item's k best any more; an item's list starts from the k-th best score of a first wave of
 documents, a lower bound of the final one. No document is left out otherwise.
