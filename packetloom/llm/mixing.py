@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,9 @@ from packetloom.session import materialise
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 4096
+# the table of (source, size) groups is broadcast up to this size, beyond it rows are joined by key
+BROADCAST_BYTES = 32 << 20
+CUT_BYTES = 96
 
 
 def with_sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -107,6 +110,34 @@ def _group_copies(rates: DataFrame, most: int) -> DataFrame:
     return rates.groupBy("source").applyInPandas(run, "source string, size long, n long, source_size long, target double, copies long")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.col("_hash"), F.lit(BUCKETS))
+
+
+def _cuts(sizes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` with the hash up to which its rows get one more copy, found from counts alone.
+
+    Rows are ordered by (bucket, hash). Bucket counts name the bucket of the cut, and only that bucket's
+    rows are counted by hash. Of the rows with the cut's own hash ``_cut_left`` are in; ``_tied`` says
+    that not all of them are.
+    """
+    keys = ["source", "size"]
+    first = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sizes.groupBy(*keys, _bucket().alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(first(*keys, "_bucket")), F.lit(0)))
+    asked = groups.where("_more > 0").select("_source", "_size", "_more")
+    hit = counts.join(asked, counts["source"].eqNullSafe(asked["_source"]) & (counts["size"] == asked["_size"])).where(
+        "_before < _more and _more <= _before + _n").select("_source", "_size", F.col("_bucket").alias("_cut_bucket"), (F.col("_more") - F.col("_before")).alias("_left"))
+    inside = sizes.join(hit, sizes["source"].eqNullSafe(hit["_source"]) & (sizes["size"] == hit["_size"]) & (_bucket() == hit["_cut_bucket"]))
+    by_hash = inside.groupBy("_source", "_size", "_cut_bucket", "_left", "_hash").agg(F.count(F.lit(1)).alias("_n"))
+    by_hash = by_hash.withColumn("_before", F.coalesce(F.sum("_n").over(first("_source", "_size", "_hash")), F.lit(0)))
+    cut = by_hash.where("_before < _left and _left <= _before + _n").select(
+        F.col("_source").alias("_s"), F.col("_size").alias("_z"), "_cut_bucket", F.col("_hash").alias("_cut_hash"),
+        (F.col("_left") - F.col("_before")).alias("_cut_left"), (F.col("_before") + F.col("_n") > F.col("_left")).alias("_tied"))
+    return groups.join(cut, groups["_source"].eqNullSafe(cut["_s"]) & (groups["_size"] == cut["_z"]), "left").select(
+        "_source", "_size", "source_size", "target", "_each", "_cut_bucket", "_cut_hash", "_cut_left", F.coalesce("_tied", F.lit(False)).alias("_tied"))
+
+
 def mix_sources(
     docs: DataFrame, keep: list[str] = ("doc_id",), share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS,
     rounds: int = 60, tolerance: float = 1e-6,
@@ -117,30 +148,34 @@ def mix_sources(
     ``share`` of all words; no target exceeds ``most`` times its source. Null and empty texts have size
     0 and are kept once, taking no words. Which rows of equal source and size get the extra copy
     depends on a hash of the doc_id and text length alone, so reruns agree; repeated rows tie and are
-    interchangeable. An empty table gives no rows. Extra columns are ignored unless kept.
+    interchangeable. An empty table gives no rows. Extra columns are ignored unless kept. ``docs`` is read
+    twice and must give the same rows both times.
     """
     keep = list(keep)
     columns = list(dict.fromkeys([*keep, "source", "doc_id"]))
-    sizes = materialise(with_sizes(docs, columns).withColumn("_hash", F.xxhash64("doc_id", "size")), "mixing-sizes")
+    hashed = F.xxhash64("doc_id", "size")
+    # texts are read for their sizes here and once more for the result: only narrow rows are written and shuffled
+    sizes = materialise(with_sizes(docs, ["source", "doc_id"]).select("source", "size", hashed.alias("_hash")), "mixing-sizes")
     hist = materialise(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-histogram")
     goal = targets(hist.select("source", (F.col("size") * F.col("n")).alias("size")), share, most, weights)
     groups = _group_copies(_rates(hist, goal, most, rounds, tolerance), most)
     groups = materialise(groups.select(
         F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target",
         F.floor(F.col("copies") / F.col("n")).cast("long").alias("_each"), (F.col("copies") % F.col("n")).alias("_more")), "mixing-groups")
-    # the rows with the smallest hashes of a group get one more: whole buckets first, one bucket is ranked
-    bucket = F.pmod(F.col("_hash"), F.lit(BUCKETS))
-    rows = sizes.withColumn("_bucket", bucket)
-    counts = rows.groupBy("source", "size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    counts = counts.join(groups, counts["source"].eqNullSafe(groups["_source"]) & (counts["size"] == groups["_size"])).drop("_source", "_size")
-    counts = counts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_bucket").alias("_b"), "source_size", "target", "_each", "_more", "_n", "_before")
-    rows = rows.join(counts, rows["source"].eqNullSafe(counts["_s"]) & (rows["size"] == counts["_z"]) & (rows["_bucket"] == counts["_b"]))
-    split = (F.col("_before") < F.col("_more")) & (F.col("_before") + F.col("_n") > F.col("_more"))
-    ranked = rows.where(split).withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_s", "_z", "_b").orderBy("_hash", "doc_id")) + F.col("_before"))
-    plain = rows.where(~split).withColumn("_rank", F.col("_before") + F.col("_n"))
-    both = ranked.unionByName(plain)
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_each") + (F.col("_rank") <= F.col("_more")).cast("long"))
-    return both.select(*[F.col(f"`{k}`") for k in keep], "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    cuts = materialise(_cuts(sizes, groups), "mixing-cuts")
+    width = cuts.agg(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + CUT_BYTES)).first()[0] or 0
+    few = F.broadcast(cuts) if width <= BROADCAST_BYTES else cuts
+    rows = with_sizes(docs, columns).withColumn("_hash", hashed).withColumn("_bucket", _bucket())
+    rows = rows.join(few, rows["source"].eqNullSafe(few["_source"]) & (rows["size"] == few["_size"]))
+    below = (F.col("_bucket") < F.col("_cut_bucket")) | ((F.col("_bucket") == F.col("_cut_bucket")) & (F.col("_hash") <= F.col("_cut_hash")))
+    more = F.coalesce(below, F.lit(False)).cast("long")
+    if cuts.where("_tied").limit(1).count():
+        # rows that share the hash at the cut (one doc_id, or none): they alone are ranked
+        at_cut = F.coalesce(F.col("_tied") & (F.col("_hash") == F.col("_cut_hash")), F.lit(False))
+        rank = F.row_number().over(Window.partitionBy("_source", "_size").orderBy("doc_id"))
+        tied = rows.where(at_cut).withColumn("_extra", (rank <= F.col("_cut_left")).cast("long"))
+        rows = rows.where(~at_cut).withColumn("_extra", more).unionByName(tied)
+    else:
+        rows = rows.withColumn("_extra", more)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_each") + F.col("_extra"))
+    return rows.select(*[F.col(f"`{k}`") for k in keep], "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

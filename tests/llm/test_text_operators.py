@@ -117,6 +117,25 @@ def test_mixing_meets_targets(spark, documents):
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, rows), key=str)
 
 
+def test_mixing_without_broadcast_and_without_ids(spark, documents, monkeypatch):
+    given = documents.select("doc_id", "text", "source").unionByName(spark.createDataFrame(
+        [(None, "one two three four", "src1")] * 41 + [(7, None, None)] * 3 + [(8, "", "src2")], "doc_id long, text string, source string"))
+    rows = sorted(map(tuple, mix_sources(given, keep=["doc_id", "source"]).collect()), key=str)
+    monkeypatch.setattr("packetloom.llm.mixing.BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, mix_sources(given, keep=["doc_id", "source"]).collect()), key=str) == rows
+    assert len(rows) == given.count()
+
+
+def test_mixing_takes_the_same_number_of_copies_from_tied_rows(spark):
+    given = spark.createDataFrame([(None, "one two three", "a")] * 40 + [(i, "four five six", "a") for i in range(20)] + [
+        (100 + i, "one two three", "b") for i in range(20)], "doc_id long, text string, source string")
+    rows = mix_sources(given, keep=["source"]).collect()
+    target = {r.source: r.target for r in rows}
+    for s in "ab":
+        assert abs(sum(r.taken for r in rows if r.source == s) - target[s]) <= 3
+    assert len(rows) == 80 and target == pytest.approx(expected_targets({"a": 180, "b": 60}))
+
+
 def test_mixing_nothing(spark, documents):
     assert mix_sources(documents.limit(0)).collect() == []
 
