@@ -14,7 +14,8 @@ Documents with the same set are one class. Inside a bucket only the star to one
 all pairs; the hub is the member that shares most bucket places with others, so that a group of near
 copies gathers round its centre. What the stars leave open (buckets with several components) is
 compared pair by pair only where the parity sketches allow a link: shingles fall into 512 cells, and
-every cell whose parity differs holds at least one shingle that only one of the two has.
+every cell whose parity differs holds at least one shingle that only one of the two has. Sets with more
+shingles than cells carry a second sketch as wide as they are, and only pairs that pass it fetch their sets.
 """
 
 from __future__ import annotations
@@ -111,6 +112,18 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(cells.astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
 
 
+def fine_sketch(values: np.ndarray) -> np.ndarray | None:
+    """The sketch of a set too large for SKETCH longs, with a power of two of cells, at least its size.
+
+    Sketches of different widths meet by folding: the halves of the wider one are added (xor).
+    """
+    if len(values) <= 64 * SKETCH:
+        return None
+    width = 64 << int(np.ceil(np.log2(len(values) / 64)))
+    cells = mix(values + _SALT) % np.uint64(width)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=width) & 1).view(np.int64)
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -118,14 +131,15 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _digests(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            sets = [(len(s), *set_digest(s), sketch(s)) for s in shingle_sets(piece.column("text"), shingle)]
-            n, h1, h2, cells = zip(*sets)
+            sets = [(len(s), *set_digest(s), sketch(s), fine_sketch(s)) for s in shingle_sets(piece.column("text"), shingle)]
+            n, h1, h2, cells, fine = zip(*sets)
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(n) + 1, SKETCH), pa.int32()), pa.array(np.concatenate(cells)))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), cells],
-                ["doc_id", "n", "h1", "h2", "cells"])
+                [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), cells,
+                 pa.array(fine, pa.list_(pa.int64()))],
+                ["doc_id", "n", "h1", "h2", "cells", "fine"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, cells array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, cells array<long>, fine array<long>")
 
 
 def _signatures(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -183,8 +197,26 @@ def _possible(num: int, den: int) -> str:
     return f"{den} * l_n >= {num} * r_n and {den} * r_n >= {num} * l_n and ({differ}) * {den + num} <= (l_n + r_n) * {den - num}"
 
 
+def _folded(name: str, width: str) -> str:
+    """Word ``i`` of a sketch folded to ``width`` words."""
+    return f"aggregate(sequence(i, size({name}) - 1, {width}), 0L, (x, j) -> x ^ {name}[j])"
+
+
+def _narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose fine sketches allow a link; pairs with a set too small for one stay."""
+    large = classes.where("fine is not null").groupBy("h1").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    left = large.select(F.col("h1").alias("x"), F.col("n").alias("l_n"), F.col("fine").alias("l"))
+    right = large.select(F.col("h1").alias("y"), F.col("n").alias("r_n"), F.col("fine").alias("r"))
+    both = pairs.join(right, "y", "left").join(left, "x", "left")
+    words = "least(size(l), size(r))"
+    differ = f"aggregate(sequence(0, {words} - 1), 0, (s, i) -> s + bit_count({_folded('l', words)} ^ {_folded('r', words)}))"
+    possible = F.expr(f"case when l is null or r is null then true else {differ} * {den + num} <= (l_n + r_n) * {den - num} end")
+    return both.where(possible).select("x", "y")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(a, b) representatives of the pairs (x, y: h1) whose sets are similar enough, exactly."""
+    pairs = materialise(_narrowed(pairs, classes, num, den), "jaccard-narrowed")
     wanted = pairs.select(F.col("x").alias("h1")).union(pairs.select(F.col("y").alias("h1"))).distinct()
     needed = materialise(classes.select("h1", "h2", "rep", "n").join(wanted, "h1", "left_semi"), "jaccard-needed")
     # sorted and merged at every size: which texts are needed grows with the corpus
@@ -211,7 +243,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: in
     rows = materialise(_digests(texts, shingle), "jaccard-digests")
     live = rows.where("doc_id is not null and n > 0")
     classes = materialise(live.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "jaccard-classes")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("fine").alias("fine")), "jaccard-classes")
     briefs = classes.groupBy("h1").agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"))
 
     spark = docs.sparkSession

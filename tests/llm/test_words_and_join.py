@@ -9,7 +9,7 @@ import pytest
 
 from packetloom.llm import words as W
 from packetloom.llm.components import components
-from packetloom.llm.ngram_join import Scheme, jaccard_components, sketch
+from packetloom.llm.ngram_join import SKETCH, Scheme, _narrowed, fine_sketch, jaccard_components, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -99,6 +99,45 @@ def test_sketch_never_exceeds_the_difference():
         assert differ <= len(np.setxor1d(a, b))
 
 
+def test_fine_sketches_drop_only_pairs_that_differ_too_much(spark):
+    rng = np.random.default_rng(4)
+    sets, rows, pairs = {}, [], []
+    for i in range(0, 240, 2):
+        a = np.unique(rng.integers(0, 1 << 60, int(rng.choice([300, 600, 1000, 1030, 2040, 2100, 5000]))).astype(np.uint64))
+        keep = max(1, int(len(a) * rng.choice([0.1, 0.5, 0.8, 0.9, 0.97, 1.0])))
+        sets[i], sets[i + 1] = a, np.unique(np.concatenate([a[:keep], rng.integers(0, 1 << 60, len(a) - keep + int(rng.integers(0, 20))).astype(np.uint64)]))
+        pairs.append((i, i + 1))
+    for i, values in sets.items():
+        fine = fine_sketch(values)
+        assert (fine is None) == (len(values) <= 64 * SKETCH)
+        rows.append((i, len(values), None if fine is None else [int(x) for x in fine]))
+    classes = spark.createDataFrame(rows, "h1 long, n long, fine array<long>")
+    left = {tuple(r) for r in _narrowed(spark.createDataFrame(pairs, "x long, y long"), classes, 80, 100).collect()}
+    dropped = 0
+    for x, y in pairs:
+        both, union = len(np.intersect1d(sets[x], sets[y])), len(np.union1d(sets[x], sets[y]))
+        assert 100 * both < 80 * union or (x, y) in left
+        if len(sets[x]) <= 64 * SKETCH or len(sets[y]) <= 64 * SKETCH:
+            assert (x, y) in left
+        elif 100 * both < 60 * union:
+            assert (x, y) not in left
+            dropped += 1
+    assert dropped
+
+
+def test_long_near_copies_equal_brute_force(spark):
+    rng, rows = np.random.default_rng(9), []
+    for g in range(6):
+        base = [f"w{rng.integers(900)}" for _ in range(int(rng.choice([700, 1100, 2600])))]
+        for i in range(9):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(len(w) * rng.choice([0.0, 0.01, 0.02, 0.024, 0.03, 0.2]))):
+                w[at] = f"x{rng.integers(99)}"
+            rows.append((100 * g + i, " ".join(w)))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 80, 100)
+
+
 def test_every_similar_pair_shares_a_probed_key():
     rng, scheme = np.random.default_rng(2), Scheme(80, 100)
     for _ in range(400):
