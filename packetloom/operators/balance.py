@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators.lookups import small_side
 from packetloom.operators.neighbours import nearest
+from packetloom.session import materialise
 
 
 def _unit(seed: int, *columns: str) -> Column:
@@ -91,6 +92,7 @@ def adasyn(df: DataFrame, label: str = "label", vector: str = "embedding", row_i
     labels = points.select(F.col(row_id).alias("neighbour_id"), F.col(label).alias("other"))
     share = around.join(labels, "neighbour_id").join(small.select(F.col(row_id).alias("query_id"), label, "need", "times"), "query_id").groupBy(
         "query_id", label, "need", "times").agg((F.avg((F.col("other") != F.col(label)).cast("double")) * F.first("times")).alias("ratio"))
+    share = materialise(share, "share")  # read for the totals and for the rows
     totals = share.groupBy(label).agg(F.sum("ratio").alias("total"))
     per_row = share.join(small_side(totals), label).where("total > 0").select(
         F.col("query_id").alias(row_id), F.bround(F.col("ratio") / F.col("total") * F.col("need")).cast("int").alias("copies"))
