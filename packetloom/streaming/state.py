@@ -45,11 +45,20 @@ def _parts(ts: np.ndarray, last: float, idle: float) -> list[tuple[int, int, boo
     return [(int(a), int(b), bool(fresh[a])) for a, b in zip(begins, [*begins[1:], len(ts)])]
 
 
+def _firsts(part: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """1 where a value shows up for the first time in its part, else 0."""
+    codes, names = pd.factorize(values.astype(object))
+    flags = np.zeros(len(values), dtype=np.int64)
+    flags[np.unique(part * max(1, len(names)) + codes, return_index=True)[1]] = 1
+    return flags
+
+
 class ScanState(StatefulProcessor):
     """Ports and targets a source has met since it was last idle, spread over the buckets of two maps.
 
     However many targets a source has, a value of the store holds those of one bucket, and a micro-batch
-    reads and writes only the buckets its own new values fall into.
+    reads and writes only the buckets its own new values fall into. What a micro-batch begins and ends
+    between two pauses never reaches the store: it holds the values of the last one.
     """
 
     BUCKETS = 1024
@@ -63,8 +72,8 @@ class ScanState(StatefulProcessor):
                     "dst_ip": handle.getMapState("targets", "bucket int", "members array<string>")}
         self.total = handle.getValueState("total", "n_ports long, n_targets long, last double")
 
-    def _new(self, column: str, values: np.ndarray) -> np.ndarray:
-        """Which rows bring a value the source has not met; they are remembered."""
+    def _new(self, column: str, values: np.ndarray, keep: bool = True) -> np.ndarray:
+        """Which rows bring a value the source has not met; with ``keep`` they are remembered."""
         names, first = np.unique(values, return_index=True)
         buckets = np.array([zlib.crc32(n.encode()) % self.BUCKETS for n in names])
         flags, met = np.zeros(len(values), dtype=np.int64), self.met[column]
@@ -73,9 +82,9 @@ class ScanState(StatefulProcessor):
             held = met.getValue((bucket,))
             members = set(held[0]) if held else set()
             fresh = [i for i in here.tolist() if names[i] not in members]
-            if fresh:
+            if fresh and keep:
                 met.updateValue((bucket,), (sorted(members | {str(names[i]) for i in fresh}),))
-                flags[first[fresh]] = 1
+            flags[first[fresh]] = 1
         return flags
 
     def _forget(self) -> None:
@@ -86,19 +95,29 @@ class ScanState(StatefulProcessor):
         pdf = _in_order(rows, ["ts_s", "pkt_id"])
         ts = pdf["ts_s"].to_numpy(dtype=float)
         n_ports, n_targets, last = self.total.get() or (0, 0, np.nan)
-        counts = {"n_ports": [], "n_targets": []}
-        for begin, end, fresh in _parts(ts, last, self.idle):
-            if fresh:
-                if n_ports:
-                    self._forget()
-                n_ports, n_targets = 0, 0
-            part = pdf.iloc[begin:end]
-            counts["n_ports"].append(n_ports + np.cumsum(self._new("dport", part["dport"].astype(str).to_numpy(dtype=str))))
-            counts["n_targets"].append(n_targets + np.cumsum(self._new("dst_ip", part["dst_ip"].to_numpy(dtype=str))))
-            n_ports, n_targets = int(counts["n_ports"][-1][-1]), int(counts["n_targets"][-1][-1])
-        self.total.update((n_ports, n_targets, float(ts[-1])))
+        parts = _parts(ts, last, self.idle)
+        begins, sizes = np.array([p[0] for p in parts]), np.array([p[1] - p[0] for p in parts])
+        part, held = np.repeat(np.arange(len(parts)), sizes), (n_ports, n_targets)
+        goes_on, last_begin = not parts[0][2], parts[-1][0]
+        values = {"dport": pdf["dport"].astype(str).to_numpy(dtype=str), "dst_ip": pdf["dst_ip"].to_numpy(dtype=str)}
+        counts = []
+        for (column, names), before in zip(values.items(), held):
+            flags = _firsts(part, names)
+            if goes_on:
+                flags[:sizes[0]] = self._new(column, names[:sizes[0]], keep=len(parts) == 1)
+            total = np.cumsum(flags)
+            total -= np.repeat(total[begins] - flags[begins], sizes)
+            if goes_on:
+                total[:sizes[0]] += before
+            counts.append(total)
+        if parts[-1][2]:
+            if n_ports:
+                self._forget()
+            for column, names in values.items():
+                self._new(column, names[last_begin:])
+        self.total.update((int(counts[0][-1]), int(counts[1][-1]), float(ts[-1])))
         self.handle.registerTimer(self._ends(float(ts[-1])))
-        out = pdf.assign(src_ip=key[0], **{name: np.concatenate(parts) for name, parts in counts.items()})
+        out = pdf.assign(src_ip=key[0], n_ports=counts[0], n_targets=counts[1])
         yield out[["pkt_id", "ts_s", "src_ip", "dst_ip", "dport", "n_ports", "n_targets"]]
 
     def _ends(self, last: float) -> int:
