@@ -3,6 +3,9 @@
 A packet's alerts are those of the last ``window`` seconds before it, whenever they arrive. Packets are
 held by key (address pair and both addresses) until the watermark passes them; with two feeds it follows
 the slower one. All keys of a packet release it in the same micro-batch, where its best alert is chosen.
+
+What a key holds lies in chunks, each the rows of one arriving frame as one value of a map: appending
+never touches what is held already, and a value is no larger than a frame.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -20,80 +24,125 @@ from packetloom.streaming.jobs import batch_table, run_batches
 
 PACKET = ["src_ip", "dst_ip", "sport", "dport", "proto", "length"]
 SPREAD = 2  # parts of a key: packets are dealt over them, alerts go to each
-ALERT_STATE = "ts_s double, event_no long, up boolean, signature string, severity int"
-WAITING_STATE = "at long, ts_s double, pkt_id long, up boolean, src_ip string, dst_ip string, sport int, dport int, proto int, length int"
+CHUNK = "number long, first long, last long"  # place and earliest and latest ``at`` of its rows
+ALERTS = pa.schema([("at", pa.int64()), ("ts_s", pa.float64()), ("row_no", pa.int64()), ("up", pa.bool_()), ("signature", pa.string()), ("severity", pa.int32())])
+WAITING = pa.schema([("at", pa.int64()), ("ts_s", pa.float64()), ("row_no", pa.int64()), ("up", pa.bool_()), ("src_ip", pa.string()), ("dst_ip", pa.string()),
+                     ("sport", pa.int32()), ("dport", pa.int32()), ("proto", pa.int32()), ("length", pa.int32())])
 FOUND = "pkt_id long, ts_s double, tier int, alert_ts double, event_no long, signature string, severity int, " \
         "src_ip string, dst_ip string, sport int, dport int, proto int, length int"
 
 
-def _rows(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
-    """Plain tuples; whole numbers that share a column with nulls come as floats."""
-    whole = {"sport", "dport", "proto", "length", "severity", "row_no", "at"}
-    plain = lambda c, v: None if pd.isna(v) else int(v) if c in whole else v
-    return [tuple(plain(c, v) for c, v in zip(columns, row)) for row in frame[columns].itertuples(index=False, name=None)]
+class _Chunks:
+    """Rows of one schema in a map of the state store, a chunk per value."""
+
+    def __init__(self, handle, name: str, schema: pa.Schema):
+        self.schema, self.map = schema, handle.getMapState(name, CHUNK, "rows binary")
+
+    def keys(self) -> list[tuple[int, int, int]]:
+        return sorted(tuple(key) for key in self.map.keys())
+
+    def put(self, number: int, rows: pa.Table) -> None:
+        at = rows["at"].to_numpy()
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, self.schema) as writer:
+                writer.write_table(rows)
+            self.map.updateValue((number, int(at.min()), int(at.max())), (sink.getvalue().to_pybytes(),))
+
+    def add(self, number: int, frame: pd.DataFrame) -> None:
+        # whole numbers that share a column with nulls come as floats
+        self.put(number, pa.Table.from_pandas(frame[self.schema.names], schema=self.schema, preserve_index=False))
+
+    def get(self, key: tuple[int, int, int]) -> pa.Table:
+        with pa.ipc.open_stream(bytes(self.map.getValue(key)[0])) as reader:
+            return reader.read_all()
+
+    def remove(self, key: tuple[int, int, int]) -> None:
+        self.map.removeKey(key)
 
 
 class AlertMatch(StatefulProcessor):
-    """Waiting packets and recent alerts of one key; both are lists of small rows in the state store."""
+    """Waiting packets and recent alerts of one key, in chunks of the state store."""
 
     def __init__(self, window: float):
         self.window = window
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.alerts = handle.getListState("alerts", ALERT_STATE)
-        self.waiting = handle.getListState("waiting", WAITING_STATE)
+        self.alerts = _Chunks(handle, "alerts", ALERTS)
+        self.waiting = _Chunks(handle, "waiting", WAITING)
+        self.number = handle.getValueState("number", "next long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, number = None, (self.number.get() or (0,))[0]
         for frame in rows:
             packets, alerts = frame[frame["is_packet"]], frame[~frame["is_packet"]]
-            if len(alerts):
-                self.alerts.appendList(_rows(alerts, ["ts_s", "row_no", "up", "signature", "severity"]))
-            if len(packets):
-                self.waiting.appendList(_rows(packets, ["at", "ts_s", "row_no", "up", *PACKET]))
+            for held, some in ((self.alerts, alerts), (self.waiting, packets)):
+                if len(some):
+                    held.add(number, some)
+                    number += 1
             # packets are due at their time, alerts are of no use a window later
-            due = int(min([*packets["at"], *(alerts["at"] + int(self.window * 1000) + 1)]))
+            due = int(min([packets["at"].min()] * (len(packets) > 0) + [alerts["at"].min() + int(self.window * 1000) + 1] * (len(alerts) > 0)))
             first = due if first is None else min(first, due)
+        self.number.update((number,))
         self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get())
-        alerts = sorted(self.alerts.get(), key=lambda a: (a[0], a[1]))
-        due = [p for p in waiting if p[0] <= now]
-        rest = [p for p in waiting if p[0] > now]
-        found = self._best(key[1], due, alerts) if due else None
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
+        held, chunks = self.alerts.keys(), self.waiting.keys()
+        due = [c for c in chunks if c[1] <= now]
+        alerts = self._sides(key[1], [self.alerts.get(a) for a in held]) if due else None
+        waits = [c[1] for c in chunks if c[1] > now]
+        for chunk in due:
+            rows = self.waiting.get(chunk)
+            self.waiting.remove(chunk)
+            at = rows["at"].to_numpy()
+            if chunk[2] > now:
+                rest = rows.filter(pa.array(at > now))
+                self.waiting.put(chunk[0], rest)
+                waits.append(int(rest["at"].to_numpy().min()))
+                rows = rows.filter(pa.array(at <= now))
+            yield self._best(key[1], rows, alerts)
         # later packets come after the watermark, those that wait do already
-        edge = min([now, *(p[0] for p in rest)]) / 1000 - self.window - 1
-        kept = [a for a in alerts if a[0] + key[2] >= edge]
-        if len(kept) < len(alerts):
-            self.alerts.put(kept) if kept else self.alerts.clear()
-        ahead = [p[0] for p in rest] + [int((a[0] + key[2] + self.window + 2) * 1000) for a in kept]
+        edge = min([now, *waits]) - (self.window + 1) * 1000
+        for old in [a for a in held if a[2] < edge]:
+            self.alerts.remove(old)
+        ahead = waits + [int(a[2] + (self.window + 2) * 1000) for a in held if a[2] >= edge]
         if ahead:  # a timer of this very moment would be dropped with the one that fired
             self.handle.registerTimer(max(min(ahead), now + 1))
-        if found is not None:
-            yield found
 
-    def _best(self, is_pair: bool, due: list, alerts: list) -> pd.DataFrame:
+    def _sides(self, is_pair: bool, chunks: list[pa.Table]) -> dict:
+        """Alerts by time, then number; those of a pair by direction."""
+        frame = pa.concat_tables([ALERTS.empty_table(), *chunks]).to_pandas(types_mapper={pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}.get)
+        frame = frame.sort_values(["ts_s", "row_no"], kind="stable")
+        up = frame["up"].to_numpy(dtype=bool)
+        return {True: frame[up], False: frame[~up]} if is_pair else {None: frame}
+
+    def _best(self, is_pair: bool, due: pa.Table, alerts: dict) -> pd.DataFrame:
         """One row per packet, with the best alert of this key or none."""
-        ts = np.array([p[1] for p in due])
-        sides = {True: [a for a in alerts if a[2]], False: [a for a in alerts if not a[2]]} if is_pair else {None: alerts}
-        newest = {}
-        for side, of in sides.items():
-            times = np.array([a[0] for a in of])
+        ts, up = due["ts_s"].to_numpy(), due["up"].to_numpy(zero_copy_only=False)
+        tier, parts = np.zeros(len(ts), dtype=np.int32), []
+        for side, of in alerts.items():
+            times = of["ts_s"].to_numpy(dtype=float)
             at = np.searchsorted(times, ts, side="right") - 1
-            newest[side] = [of[i] if i >= 0 and t - times[i] <= self.window else None for i, t in zip(at.tolist(), ts)]
-        out = []
-        for i, (_, when, pkt_id, up, *packet) in enumerate(due):
-            tiers = ((1, newest[up][i]), (2, newest[not up][i])) if is_pair else ((3, newest[None][i]),)
-            tier, hit = next(((n, a) for n, a in tiers if a is not None), (None, (None, None, None, None, None)))
-            out.append((pkt_id, when, tier, hit[0], hit[1], hit[3], hit[4], *packet))
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in FOUND.split(", ")])
-        return frame.astype({"tier": "Int32", "alert_ts": "Float64", "event_no": "Int64", "severity": "Int32"})
+            hit = at >= 0
+            hit[hit] = ts[hit] - times[at[hit]] <= self.window
+            own = np.where(up == side, 1, 2) if is_pair else np.full(len(ts), 3)
+            better = hit & ((tier == 0) | (own < tier))
+            tier[better] = own[better]
+            parts.append((of, at, own))
+        out = due.to_pandas(types_mapper={pa.int32(): pd.Int32Dtype()}.get).rename(columns={"row_no": "pkt_id"})
+        out["tier"] = pd.array(tier, dtype="Int32")
+        out.loc[tier == 0, "tier"] = pd.NA
+        columns = {"alert_ts": "ts_s", "event_no": "row_no", "signature": "signature", "severity": "severity"}
+        types = {"alert_ts": "Float64", "event_no": "Int64", "signature": object, "severity": "Int32"}
+        for name, column in columns.items():
+            out[name] = pd.Series([None] * len(out), dtype=types[name])
+            for of, at, own in parts:
+                chosen = tier == own
+                if chosen.any():
+                    out.loc[chosen, name] = of[column].take(at[chosen]).astype(types[name]).to_numpy(dtype=object, na_value=None)
+        return out[[f.split()[0] for f in FOUND.split(", ")]]
 
     def close(self) -> None:
         pass

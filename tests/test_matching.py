@@ -44,3 +44,75 @@ def test_late_alerts_find_their_packets(spark, slices, delay, spread):
     assert len(rows) == len(packets) and {r.pkt_id: r.signature for r in rows} == want
     assert {r.pkt_id for r in rows if r.is_alert} == set(best) and best
     assert all(r.src_port is None for r in rows if r.pkt_id % 9 == 0)
+
+
+def test_a_frame_is_one_value_of_the_store():
+    """Every row was appended to a list of its own key, each append reading all before it."""
+    import pandas as pd
+
+    from packetloom.streaming.matching import PACKET, AlertMatch
+
+    calls = []
+
+    class Map(dict):
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+        def getValue(self, key):
+            calls.append("get")
+            return self[key]
+
+        def removeKey(self, key):
+            calls.append("remove")
+            del self[key]
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, name, key, value):
+            return Map()
+
+        def getListState(self, name, row):
+            raise AssertionError("a list is appended to row by row")
+
+        def getValueState(self, name, value):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    match, key = AlertMatch(30.0), ("10.0.0.1|10.0.0.2", True, 0.0, 0)
+    match.init(Handle())
+    rows = [(True, int(i * 100), i / 10, i, i % 2 == 0, None, None, "10.0.0.1", "10.0.0.2", None if i % 9 == 0 else 1024, 443, 6, 60) for i in range(4000)]
+    rows += [(False, int(n * 50_000), n * 50.0, n, n % 3 == 0, f"s{n}", n or None, None, None, None, None, None, None) for n in range(9)]
+    columns = ["is_packet", "at", "ts_s", "row_no", "up", "signature", "severity", *PACKET]
+    frame = pd.DataFrame(rows, columns=columns)
+    list(match.handleInputRows(key, iter([frame[i::4] for i in range(4)]), None))
+    assert len(calls) <= 8
+    out = pd.concat([*match.handleExpiredTimer(key, Now(200_000), None), *match.handleExpiredTimer(key, Now(10 ** 7), None)]).set_index("pkt_id").sort_index()
+    assert len(out) == 4000 and out.index.is_unique and len(calls) < 60
+    assert not match.waiting.keys() and not match.alerts.keys()
+    for i in range(4000):
+        n = i // 500
+        near = i / 10 - n * 50.0 <= 30.0
+        got = out.loc[i]
+        assert (got["event_no"] == n and got["signature"] == f"s{n}") if near else pd.isna(got["event_no"])
+        assert not near or (got["tier"] == (1 if (n % 3 == 0) == (i % 2 == 0) else 2) and (pd.isna(got["severity"]) if n == 0 else got["severity"] == n))
+        assert pd.isna(got["sport"]) if i % 9 == 0 else got["sport"] == 1024
