@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK_CONF = "packetloom.rowsPerChunk"
-DEFAULT_ROWS_PER_CHUNK = 4_000_000
+DEFAULT_ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 10_000  # also bounds the carry window of one key
 
 
