@@ -9,11 +9,13 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
-from packetloom.llm import licenses
+from packetloom.llm import decontaminate, licenses
 from packetloom.llm.decontaminate import benchmark_matches, decontaminated
 from packetloom.llm.pii import pii_spans, sanitised
 from packetloom.llm.queries import ORACLES, QUERIES
+from packetloom.session import materialise
 
 SF = "/root/testdata/sf0.01"
 
@@ -118,6 +120,39 @@ def test_windows_at_the_ends_of_texts(spark):
     assert {r.doc_id for r in decontaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan (without adaptive execution) wrote."""
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_texts_without_a_benchmark_shingle_are_not_shuffled(spark, monkeypatch):
+    item = " ".join(f"word{j}" for j in range(40))
+    docs = [(n, f"clean{n} " * 8) for n in range(3000)] + [(n, f"pre{n} {item} post{n}") for n in range(3000, 3020)] + [(4000, None), (4001, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    written = {}
+    monkeypatch.setattr(decontaminate, "materialise", lambda rows, name: written.setdefault(name, rows) and materialise(rows, name))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):  # as with too many texts for a broadcast
+            spark.conf.set(k, v)
+        assert {(r.doc_id, r.item_id) for r in benchmark_matches(df, bench).collect()} == {(n, 1) for n in range(3000, 3020)}
+        texts = written["benchmark-texts"]
+        assert {r.doc_id for r in texts.collect()} == set(range(3000, 3020))
+        assert shuffled_rows(texts._jdf.queryExecution().executedPlan()) < 600
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3000])
+def test_sieve_keeps_every_key(spark, n):
+    rows = spark.range(-20_000, 20_000).select(F.when(F.col("id") != 0, F.xxhash64("id")).alias("key"), F.col("id").alias("n"))
+    keys = rows.where(F.col("n").between(1, n)).select("key")
+    got = [r.n for r in decontaminate._sifted(rows, keys).collect()]
+    assert len(got) == len(set(got)) and set(got) >= set(range(1, n + 1)) and len(got) < n + 2500 and 0 not in got
+
+
 # --- PII -----------------------------------------------------------------------------------------
 
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
